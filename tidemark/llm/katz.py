@@ -30,6 +30,7 @@ empty table.
 
 from __future__ import annotations
 
+import gc
 import io
 import uuid
 from collections.abc import Iterator
@@ -59,7 +60,7 @@ ANSWER = "batch long, part long, first binary, second binary"
 class KatzModel:
     order: int = 2
     #: Tokens of one batch, beyond which the next one starts.
-    batch_tokens: int = 1 << 21
+    batch_tokens: int = 1 << 20
     #: Entries of one partition of a table, about.
     part_entries: int = 1 << 19
 
@@ -178,8 +179,14 @@ def make_batches(docs: DataFrame, folder: str, model: KatzModel) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal known, index, rows, size
             words = np.fromiter((END if w is None else xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
+            tokens = np.concatenate(index)
+            # frequent words get small numbers, which pack best
+            rank = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+            number = np.empty(len(rank), np.int32)
+            number[rank] = np.arange(len(rank), dtype=np.int32)
+            words, tokens = words[rank], number[tokens]
             ids, train, lengths = zip(*rows, strict=True)
-            batch = Batch(words, np.concatenate(index), np.array(lengths, np.int32), np.array(train, bool), np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], bool))
+            batch = Batch(words, tokens, np.array(lengths, np.int32), np.array(train, bool), np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], bool))
             name = uuid.uuid4()
             batch.save(fs, f"{at}/{name.hex}")
             row = (name.int & (1 << 62) - 1, f"{at}/{name.hex}", size)
@@ -202,6 +209,19 @@ def make_batches(docs: DataFrame, folder: str, model: KatzModel) -> DataFrame:
     return cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "train").mapInArrow(run, BATCHES))
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` in the shared folder; shuffle files that only led up to it are let go.
+
+    Spark removes them once the driver has collected what refers to them,
+    which it seldom does by itself while executors do the work.
+    """
+    out = cut(df)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 # tables -------------------------------------------------------------------
 
 
@@ -244,7 +264,7 @@ def count_table(asked: DataFrame) -> DataFrame:
         out.append((-2, part, pack(np.array([counts.sum(), *((counts == r).sum() for r in range(1, K + 2)), len(counts)], np.int64)), b""))
         return pa.Table.from_batches([_rows(out, ANSWER)])
 
-    return cut(asked.groupBy("part").applyInArrow(run, ANSWER))
+    return settle(asked.groupBy("part").applyInArrow(run, ANSWER))
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -460,7 +480,7 @@ def weight_table(sums: DataFrame, evaluator: Evaluator, order: int) -> DataFrame
         out.append((-1, part, pack_sorted(every[kept]), pack(backoff[kept])))
         return pa.Table.from_batches([_rows(out, ANSWER)])
 
-    return cut(sums.groupBy("part").applyInArrow(run, ANSWER))
+    return settle(sums.groupBy("part").applyInArrow(run, ANSWER))
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
