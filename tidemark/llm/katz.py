@@ -209,17 +209,14 @@ def make_batches(docs: DataFrame, folder: str, model: KatzModel) -> DataFrame:
     return cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "train").mapInArrow(run, BATCHES))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` in the shared folder; shuffle files that only led up to it are let go.
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files that only led up to what is in the shared folder.
 
     Spark removes them once the driver has collected what refers to them,
     which it seldom does by itself while executors do the work.
     """
-    out = cut(df)
-    del df
     gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    spark.sparkContext._jvm.System.gc()
 
 
 # tables -------------------------------------------------------------------
@@ -264,7 +261,7 @@ def count_table(asked: DataFrame) -> DataFrame:
         out.append((-2, part, pack(np.array([counts.sum(), *((counts == r).sum() for r in range(1, K + 2)), len(counts)], np.int64)), b""))
         return pa.Table.from_batches([_rows(out, ANSWER)])
 
-    return settle(asked.groupBy("part").applyInArrow(run, ANSWER))
+    return cut(asked.groupBy("part").applyInArrow(run, ANSWER))
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -368,10 +365,12 @@ class Katz:
         totals = []
         for order in range(1, model.order + 1):
             self.tables[_counts(order)] = count_table(self._ask(order))
+            release(self.spark)
             totals.append(stats(self.tables[_counts(order)]))
             self.evaluator = Evaluator(tuple((n, tuple(of), v) for n, of, v in totals))
             if order > 1:
                 self.tables[_weights(order)] = weight_table(self._contexts(order), self.evaluator, order)
+                release(self.spark)
 
     def _ask(self, order: int) -> DataFrame:
         """Each batch's distinct n-grams and their counts in training texts, by partition."""
@@ -480,7 +479,7 @@ def weight_table(sums: DataFrame, evaluator: Evaluator, order: int) -> DataFrame
         out.append((-1, part, pack_sorted(every[kept]), pack(backoff[kept])))
         return pa.Table.from_batches([_rows(out, ANSWER)])
 
-    return settle(sums.groupBy("part").applyInArrow(run, ANSWER))
+    return cut(sums.groupBy("part").applyInArrow(run, ANSWER))
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
