@@ -7,7 +7,7 @@ unseen word.  backoff(h) = (1 - sum of p over what followed h) / (1 - sum of
 the shorter model's p over the same words), so every p(. | h) sums to one.
 
 How it is spread.  Texts are read once and become *batches*: the batch's
-distinct words as 64-bit hashes, and for each token the word's number, in one
+distinct words as 56-bit hashes, and for each token the word's number, in one
 file in the shared folder.  For each order a batch sends its distinct n-grams
 with their counts, sorted and packed, to the partitions of the n-gram table (by
 ranges of the hash, so that a word that makes up a third of all tokens is one
@@ -15,11 +15,11 @@ entry per batch, and no key is hot).  A partition adds them up, stores its
 slice of the table and answers each batch with the counts, in the order asked.
 One batch per n-gram is its owner and adds up what backoff needs for the
 n-gram's context; contexts are summed and answered the same way.  So what moves
-is the distinct n-grams of batches, some six bytes each, never the tokens, and
+is the distinct n-grams of batches, some five bytes each, never the tokens, and
 a task holds one batch or one partition, whose sizes are parameters.
 
-The driver sees counts of counts only.  N-grams are told apart by 64-bit
-hashes; of 10^10 distinct ones about three are expected to share a hash.
+The driver sees counts of counts only.  N-grams are told apart by 56-bit
+hashes: of 10^10 distinct ones some 700 are expected to share theirs.
 
 Defined results: null and empty texts are the end token alone; a null id
 counts as empty text, whose remainder is 0, for training; repeated rows count
@@ -47,9 +47,11 @@ from tidemark.llm.common import checkpoint_dir, cut, read
 from tidemark.llm.zip_ranges import filesystem
 
 #: Neither can be a word, as both are white space.
-START, END = (xxhash.xxh64_intdigest(b) for b in (b"\t", b"\n"))
+START, END = (xxhash.xxh64_intdigest(b) >> 8 for b in (b"\t", b"\n"))
 #: Counts up to this are discounted.
 K = 5
+#: Sums of probabilities move as whole numbers of these.
+FIXED = float(1 << 44)
 BATCHES = "batch long, path string, tokens long"
 ASKED = "part long, batch long, keys binary, sums binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -88,17 +90,22 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Doubles to 28 bits of their fractions (within 2e-9 of each), whose low bytes pack to nothing."""
+    return ((x.view(np.int64) + (1 << 23)) & ~((1 << 24) - 1)).view(np.float64)
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The hash of a longer n-gram from those of its first words and its last."""
     with np.errstate(over="ignore"):
         x = a * np.uint64(0x9E3779B97F4A7C15) + b
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        return (x ^ (x >> np.uint64(31))) >> np.uint64(8)
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return ((keys >> np.uint64(24)) * np.uint64(parts)) >> np.uint64(32)
 
 
 def slices(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
@@ -178,7 +185,7 @@ def make_batches(docs: DataFrame, folder: str, model: KatzModel) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal known, index, rows, size
-            words = np.fromiter((END if w is None else xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
+            words = np.fromiter((END if w is None else xxhash.xxh64_intdigest(w) >> 8 for w in known), np.uint64, len(known))
             tokens = np.concatenate(index)
             # frequent words get small numbers, which pack best
             rank = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
@@ -415,7 +422,7 @@ class Katz:
             where, n = of[token], len(contexts)
             shorter = evaluator.p(batch, answers, order - 1)[token]
             whole = [np.bincount(where, weights=r, minlength=n), *(np.bincount(where[r == x], minlength=n) for x in range(1, K + 1))]
-            whole = [x.astype(np.int64) for x in whole] + [np.bincount(where, weights=shorter, minlength=n).view(np.int64)]
+            whole = [x.astype(np.int64) for x in whole] + [np.rint(np.bincount(where, weights=shorter, minlength=n) * FIXED).astype(np.int64)]
             out = [(p, answers.name, pack_sorted(contexts[s]), pack(np.concatenate([x[s] for x in whole]))) for p, s in slices(contexts, parts)]
             return pa.Table.from_batches([_rows(out, ASKED)])
 
@@ -464,12 +471,12 @@ def weight_table(sums: DataFrame, evaluator: Evaluator, order: int) -> DataFrame
         every, where = np.unique(np.concatenate(keys), return_inverse=True)
         rows = np.concatenate(rows, axis=1)
         total, *of = (np.bincount(where, weights=x, minlength=len(every)) for x in rows[: K + 1])
-        shorter = np.bincount(where, weights=np.ascontiguousarray(rows[K + 1]).view(np.float64), minlength=len(every))
+        shorter = np.bincount(where, weights=rows[K + 1], minlength=len(every)) / FIXED
         left = sum((1 - d[x]) * x * of[x - 1] for x in range(1, K + 1))
         # where nothing was discounted, one is added to the total for what is unseen
         spare = (left <= 0) & (total > 0)
         total, left = total + spare, np.where(spare, 1.0, left)
-        backoff = np.where(total > 0, left / np.maximum(1, total) / np.maximum(1 - shorter, unseen), 1.0)
+        backoff = rounded(np.where(total > 0, left / np.maximum(1, total) / np.maximum(1 - shorter, unseen), 1.0))
         total = total.astype(np.int64)
         out, at = [], 0
         for b, k in zip(group.column("batch").to_pylist(), keys, strict=True):
