@@ -1,0 +1 @@
+"""Scalar functions: key patterns, keys and offsets, durations, time layouts."""

@@ -1,4 +1,409 @@
-"""Queries by name, each with equivalent SQL where SQL can express it."""
+"""Queries by name, each with equivalent SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import uuid
+from datetime import datetime, timedelta
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import keys, patterns
+from tidemark.operators import batches, stream, views
+from tidemark.operators.dedup import history, latest
+from tidemark.operators.projection import zero_fill
+from tidemark.sources.config import StoreConfig, Timing
+from tidemark.sources.store import Store
+
+PARTS = ["day", "event_type"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "events")
+    return df.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("ver", F.unix_micros(F.col("ts").cast("timestamp")))
+
+
+def _cols() -> dict:
+    return {p: F.col(p) for p in PARTS}
+
+
+def _key():
+    return keys.hive_key(_cols())
+
+
+def _matching(df: DataFrame, *found: str) -> DataFrame:
+    return df.where(patterns.predicate(found, _cols()))
+
+
+def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One write for each (day, event_type), stamped with its last event."""
+    token = F.concat(F.lit("batch-"), F.col("day"), F.lit("-"), F.col("event_type"))
+    df = _events(spark, sf_dir).groupBy("day", "event_type").agg(F.max("ver").alias("ref_micro_ts"), F.count(F.lit(1)).alias("row_count"))
+    return df.withColumn("token", token).withColumn("attempt_id", F.md5(token)).withColumn("partition", _key())
+
+
+def _commits(writes: DataFrame) -> DataFrame:
+    return writes.select("partition", "token", "attempt_id", "ref_micro_ts", F.col("ref_micro_ts").alias("inserted_at_us"), "row_count")
+
+
+def _refs(writes: DataFrame) -> DataFrame:
+    return stream.with_ref_keys(writes)
+
+
+def _rows_of(spark: SparkSession, sf_dir: str, writes: DataFrame) -> DataFrame:
+    """Events with the write that holds them."""
+    df = _events(spark, sf_dir).withColumn("partition", _key())
+    token = F.concat(F.lit("batch-"), F.col("day"), F.lit("-"), F.col("event_type"))
+    return df.withColumn("token", token).withColumn("attempt_id", F.md5(token))
+
+
+def _key_parts(df: DataFrame, key: str = "key") -> DataFrame:
+    return df.withColumn("day", F.regexp_extract(key, "day=([^/]*)", 1)).withColumn("event_type", F.regexp_extract(key, "event_type=([^/]*)", 1))
+
+
+DAY10, DAY15, DAY20 = (keys.offset_at(datetime(2024, 1, d)) for d in (10, 15, 20))
+
+
+def scan_all(s, d):
+    return _matching(_events(s, d), "*").select("event_id", "day", "event_type", "user_id", "value")
+
+
+def pattern_exact(s, d):
+    return _matching(_events(s, d), "day=2024-01-05/event_type=click").select("event_id", "day", "event_type")
+
+
+def pattern_prefix(s, d):
+    return _matching(_events(s, d), "day=2024-01-1*/event_type=view").select("event_id", "day", "event_type")
+
+
+def pattern_range(s, d):
+    return _matching(_events(s, d), "day=2024-01-05..2024-01-15/*").select("event_id", "day")
+
+
+def pattern_range_open(s, d):
+    return _matching(_events(s, d), "day=2024-01-20../event_type=..error").select("event_id", "day", "event_type")
+
+
+def pattern_wild_head(s, d):
+    return _matching(_events(s, d), "*/event_type=signup").select("event_id", "day")
+
+
+def pattern_multi(s, d):
+    return _matching(_events(s, d), "day=2024-01-05/event_type=click", "day=2024-01-06/event_type=view").select("event_id", "day", "event_type")
+
+
+def pattern_overlap(s, d):
+    return _matching(_events(s, d), "day=2024-01-01..2024-01-15/*", "day=2024-01-10..2024-01-20/*").select("event_id", "day")
+
+
+def read_latest(s, d):
+    df = _matching(_events(s, d), "day=2024-01-05..2024-01-15/event_type=click")
+    return latest(df, PARTS, ["user_id"], "ver").select("day", "event_type", "user_id", "ts", "value")
+
+
+def read_latest_all(s, d):
+    return latest(_events(s, d), PARTS, ["user_id"], "ver").select("day", "event_type", "user_id", "event_id", "value")
+
+
+def _lineitem(s, d):
+    df = _table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return df.withColumn("ship_month", F.date_format("l_shipdate", "yyyy-MM")).withColumn("ver", F.unix_micros(F.col("l_shipdate").cast("timestamp")))
+
+
+def read_history(s, d):
+    return history(_lineitem(s, d).drop("l_shipdate"), ["ship_month"], ["l_orderkey", "l_linenumber"], "ver").select("ship_month", "l_orderkey", "l_linenumber", "ver")
+
+
+def latest_spanning_entities(s, d):
+    return latest(_lineitem(s, d).drop("l_shipdate"), ["ship_month"], ["l_orderkey", "l_linenumber"], "ver").select("ship_month", "l_orderkey", "l_linenumber", "ver")
+
+
+def latest_tie_last(s, d):
+    df = _table(s, d, "orders").withColumn("period", F.date_format("o_orderdate", "yyyy-MM")).withColumn("ver", F.unix_micros(F.col("o_orderdate").cast("timestamp")))
+    return latest(df, ["period"], ["o_custkey"], "ver", ["o_orderkey"]).select("period", "o_custkey", "o_orderkey", "o_totalprice")
+
+
+def group_by_partition(s, d):
+    return batches.partition_counts(_events(s, d), _key())
+
+
+def partition_batches(s, d):
+    rows = latest(_events(s, d), PARTS, ["user_id"], "ver").select("day", "event_type", "user_id", "ver")
+    found = batches.group_by_partition(rows, _key(), ["user_id", "ver"])
+    return found.select(F.col("key").alias("hive_key"), F.size("rows").cast("long").alias("n_rows"), F.col("rows")[0]["user_id"].alias("first_entity"))
+
+
+def narrow_read(s, d):
+    return _table(s, d, "events").select("event_id", "user_id")
+
+
+def zero_fill_query(s, d):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("amount", T.DoubleType()), T.StructField("currency", T.StringType())])
+    return zero_fill(_table(s, d, "events").select("event_id"), schema)
+
+
+def commit_gate(s, d):
+    w = _writes(s, d)
+    return stream.gate(_rows_of(s, d, w), _commits(w.where("event_type <> 'error'"))).select("event_id", "day")
+
+
+def commit_gate_attempts(s, d):
+    w = _writes(s, d)
+    rows = _rows_of(s, d, w)
+    again = lambda n: rows.withColumn("attempt", F.lit(n)).withColumn("attempt_id", F.md5(F.concat("token", F.lit(n))))
+    commits = _commits(w.withColumn("attempt_id", F.md5(F.concat("token", F.lit("second")))))
+    return stream.gate(again("first").unionByName(again("second")), commits).select("event_id", "attempt")
+
+
+def poll_all(s, d):
+    w = _writes(s, d)
+    found = stream.poll_range(_refs(w), _commits(w))
+    ref_id = F.concat(F.substring("offset", len(keys.REFS) + 1, 17), F.col("token"), F.lit("-"), F.col("attempt_id"))
+    return found.select(ref_id.alias("ref_id"), "row_count")
+
+
+def poll_window(s, d):
+    w = _writes(s, d)
+    return _key_parts(stream.poll_range(_refs(w), _commits(w), DAY10, DAY20)).select("day", "event_type", "row_count")
+
+
+def poll_settle(s, d):
+    w = _writes(s, d)
+    cutoff = keys.micros(datetime(2024, 1, 20) - timedelta(seconds=16))
+    return _key_parts(stream.poll_range(_refs(w), _commits(w), cutoff_us=cutoff)).select("day", "event_type")
+
+
+def poll_page(s, d):
+    w = _writes(s, d)
+    found = stream.poll(_refs(w), _commits(w), max_entries=7).entries
+    return found.select("token", F.unix_micros("inserted_at").alias("ref_micro_ts"))
+
+
+def poll_gated(s, d):
+    w = _writes(s, d)
+    return stream.poll(_refs(w), _commits(w.where("event_type <> 'error'")), max_entries=7).entries.select("token")
+
+
+def poll_records(s, d):
+    w = _writes(s, d)
+    found = stream.poll_range(_refs(w), _commits(w), DAY10, DAY20)
+    rows = stream.records_of(found, _rows_of(s, d, w))
+    return history(rows, PARTS, ["event_id"], "ver").select("event_id", "day")
+
+
+def range_latest(s, d):
+    w = _writes(s, d)
+    rows = stream.records_of(stream.poll_range(_refs(w), _commits(w), until=DAY15), _rows_of(s, d, w))
+    return latest(rows, PARTS, ["user_id"], "ver").select("day", "event_type", "user_id", "value")
+
+
+def restamp_bag(s, d):
+    w = _writes(s, d)
+    again = w.where("event_type = 'click'").withColumn("ref_micro_ts", F.col("ref_micro_ts") + 1)
+    found = stream.poll_range(_refs(w).unionByName(_refs(again)), _commits(w))
+    return stream.records_of(found, _rows_of(s, d, w)).select("event_id")
+
+
+def partition_keys(s, d):
+    w = _writes(s, d)
+    return stream.partition_keys(stream.poll_range(_refs(w), _commits(w)))
+
+
+def partition_intersect(s, d):
+    w = _writes(s, d)
+    found = _key_parts(stream.poll_range(_refs(w), _commits(w)))
+    only = lambda df: df.select(F.col("day").alias("key"))
+    return stream.common_partitions(only(found.where("event_type = 'click'")), only(found.where("event_type = 'purchase' AND row_count > 60"))).select(F.col("key").alias("day"))
+
+
+def _user_view(**more):
+    return views.View("users", ("event_type", "user_id"), {"event_type": F.col("event_type"), "user_id": F.col("user_id").cast("string")}, **more)
+
+
+def view_distinct(s, d):
+    return views.distinct_tuples(_events(s, d), _user_view())
+
+
+def view_lookup(s, d):
+    v = views.View("days", ("event_type", "day"))
+    return views.lookup(views.distinct_tuples(_events(s, d), v), v.columns, ["event_type=view/day=2024-01-10..2024-01-20"])
+
+
+def view_time_layout(s, d):
+    v = views.View("months", ("month", "o_orderstatus"), {"month": F.col("o_orderdate"), "o_orderstatus": F.col("o_orderstatus")}, layouts={"month": "yyyy-MM"})
+    return views.distinct_tuples(_table(s, d, "orders"), v)
+
+
+def view_skip(s, d):
+    return views.distinct_tuples(_events(s, d), _user_view(where=F.col("value") >= 150))
+
+
+def view_lossy_bind(s, d):
+    v = _user_view()
+    return views.lookup(views.distinct_tuples(_events(s, d), v), v.columns, ["*"], lambda df: df.select("event_type"))
+
+
+def backfill_stats(s, d):
+    df = _events(s, d).select(_key().alias("object"), F.col("user_id").cast("string").alias("u"))
+    return views.backfill_stats(df, "object", ["u"])
+
+
+# through a store ------------------------------------------------------------
+
+
+def _shared(spark: SparkSession) -> str:
+    """A fresh folder where the cluster shares files."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+def _store(s: SparkSession, d: str, now: datetime = datetime(2024, 2, 1), **more) -> Store:
+    from pyspark.sql import types as T
+
+    kind = _events(s, d).select("event_id", "day", "event_type", "user_id", "value", "ver").schema
+    schema = T.StructType([*kind.fields, *([T.StructField("inserted_at", T.TimestampType())] if more.get("inserted_at") else [])])
+    config = StoreConfig(_shared(s), schema, {p: p for p in PARTS}, entity=["event_id"], version="ver", clock=lambda: now, **more)
+    return Store(s, config, Timing(timedelta(seconds=10), timedelta(seconds=6)))
+
+
+def idempotent_retry(s, d):
+    store, rows = _store(s, d), _matching(_events(s, d), "day=2024-01-05/*")
+    first = store.write(rows, token="load-1")
+    if store.write(rows, token="load-1") != first:
+        raise AssertionError("a retry returns the first result")
+    return store.read(["*"]).select("event_id")
+
+
+def inserted_at_column(s, d):
+    store = _store(s, d, inserted_at="inserted_at")
+    store.write(_matching(_events(s, d), "day=2024-01-05/*"), inserted_at=datetime(2024, 2, 1))
+    return store.read(["*"]).select("event_id", F.col("inserted_at").cast("timestamp_ntz").alias("inserted_at"))
+
+
+def write_results(s, d):
+    """Results of a write of all events, one for each partition."""
+    store = _store(s, d)
+    found = store.write(_events(s, d))
+    rows = [(r.ref_path.split(";")[1].removesuffix(".ref").replace("%2F", "/"), r.row_count) for r in found]
+    return s.createDataFrame(rows, "hive_key string, row_count long")
+
+
+def store_commits(s, d):
+    """Results of a real write of ten days, one commit per partition."""
+    store = _store(s, d)
+    store.write(_matching(_events(s, d), "day=2024-01-0*/*"), token="load-1")
+    return store.logs.commits().select(F.col("partition").alias("hive_key"), "row_count")
+
+
+def store_latest(s, d):
+    """Latest rows of a dataset written twice, the second time with half of the values changed."""
+    store = _store(s, d)
+    rows = _matching(_events(s, d), "day=2024-01-0*/event_type=click")
+    store.write(rows, token="one")
+    store.write(rows.where("event_id % 2 = 0").withColumn("value", F.col("value") * 2).withColumn("ver", F.col("ver") + 1), token="two")
+    return store.read(["day=2024-01-02..2024-01-05/*"]).select("event_id", "day", "value")
+
+
+QUERIES = {
+    "scan_all": scan_all,
+    "pattern_exact": pattern_exact,
+    "pattern_prefix": pattern_prefix,
+    "pattern_range": pattern_range,
+    "pattern_range_open": pattern_range_open,
+    "pattern_wild_head": pattern_wild_head,
+    "pattern_multi": pattern_multi,
+    "pattern_overlap": pattern_overlap,
+    "read_latest": read_latest,
+    "read_latest_all": read_latest_all,
+    "read_history": read_history,
+    "latest_tie_last": latest_tie_last,
+    "latest_spanning_entities": latest_spanning_entities,
+    "group_by_partition": group_by_partition,
+    "partition_batches": partition_batches,
+    "narrow_read": narrow_read,
+    "zero_fill": zero_fill_query,
+    "commit_gate": commit_gate,
+    "commit_gate_attempts": commit_gate_attempts,
+    "poll_all": poll_all,
+    "poll_window": poll_window,
+    "poll_settle": poll_settle,
+    "poll_page": poll_page,
+    "poll_gated": poll_gated,
+    "poll_records": poll_records,
+    "range_latest": range_latest,
+    "restamp_bag": restamp_bag,
+    "partition_keys": partition_keys,
+    "partition_intersect": partition_intersect,
+    "view_distinct": view_distinct,
+    "view_lookup": view_lookup,
+    "view_time_layout": view_time_layout,
+    "view_skip": view_skip,
+    "view_lossy_bind": view_lossy_bind,
+    "backfill_stats": backfill_stats,
+    "idempotent_retry": idempotent_retry,
+    "inserted_at_column": inserted_at_column,
+    "write_results": write_results,
+    "store_commits": store_commits,
+    "store_latest": store_latest,
+}
+
+_E = "WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, epoch_us(ts) AS ver FROM events)"
+_W = (
+    _E + ", w AS (SELECT day, event_type, 'batch-' || day || '-' || event_type AS token, md5('batch-' || day || '-' || event_type) AS attempt_id,"
+    " max(ver) AS ref_micro_ts, count(*) AS row_count FROM e GROUP BY day, event_type)"
+)
+_REF = "lpad(CAST(ref_micro_ts AS VARCHAR), 16, '0') || '-' || token"
+_US = "epoch_us(TIMESTAMP '2024-01-{}')"
+
+ORACLE_SQL = {
+    "scan_all": f"{_E} SELECT event_id, day, event_type, user_id, value FROM e",
+    "pattern_exact": f"{_E} SELECT event_id, day, event_type FROM e WHERE day = '2024-01-05' AND event_type = 'click'",
+    "pattern_prefix": f"{_E} SELECT event_id, day, event_type FROM e WHERE starts_with(day, '2024-01-1') AND event_type = 'view'",
+    "pattern_range": f"{_E} SELECT event_id, day FROM e WHERE day >= '2024-01-05' AND day < '2024-01-15'",
+    "pattern_range_open": f"{_E} SELECT event_id, day, event_type FROM e WHERE day >= '2024-01-20' AND event_type < 'error'",
+    "pattern_wild_head": f"{_E} SELECT event_id, day FROM e WHERE event_type = 'signup'",
+    "pattern_multi": f"{_E} SELECT event_id, day, event_type FROM e WHERE (day = '2024-01-05' AND event_type = 'click') OR (day = '2024-01-06' AND event_type = 'view')",
+    "pattern_overlap": f"{_E} SELECT event_id, day FROM e WHERE day >= '2024-01-01' AND day < '2024-01-20'",
+    "read_latest": f"{_E} SELECT day, event_type, user_id, ts, value FROM e WHERE day >= '2024-01-05' AND day < '2024-01-15' AND event_type = 'click' QUALIFY row_number() OVER (PARTITION BY day, event_type, user_id ORDER BY ver DESC) = 1",
+    "read_latest_all": f"{_E} SELECT day, event_type, user_id, event_id, value FROM e QUALIFY row_number() OVER (PARTITION BY day, event_type, user_id ORDER BY ver DESC) = 1",
+    "read_history": "SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS ship_month, l_orderkey, l_linenumber, epoch_us(l_shipdate) AS ver FROM lineitem",
+    "latest_tie_last": "SELECT strftime(o_orderdate, '%Y-%m') AS period, o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m'), o_custkey ORDER BY epoch_us(o_orderdate) DESC, o_orderkey DESC) = 1",
+    "latest_spanning_entities": "SELECT strftime(l_shipdate, '%Y-%m') AS ship_month, l_orderkey, l_linenumber, max(epoch_us(l_shipdate)) AS ver FROM lineitem GROUP BY ALL",
+    "group_by_partition": f"{_E} SELECT 'day=' || day || '/event_type=' || event_type AS hive_key, count(*) AS n_rows FROM e GROUP BY ALL",
+    "partition_batches": f"{_E} SELECT 'day=' || day || '/event_type=' || event_type AS hive_key, count(DISTINCT user_id) AS n_rows, min(user_id) AS first_entity FROM e GROUP BY ALL",
+    "narrow_read": f"{_E} SELECT event_id, user_id FROM e",
+    "zero_fill": f"{_E} SELECT event_id, CAST(0.0 AS DOUBLE) AS amount, '' AS currency FROM e",
+    "commit_gate": f"{_E} SELECT event_id, day FROM e WHERE event_type <> 'error'",
+    "commit_gate_attempts": f"{_E} SELECT event_id, 'second' AS attempt FROM e",
+    "poll_all": f"{_W} SELECT {_REF} || '-' || attempt_id AS ref_id, row_count FROM w",
+    "poll_window": f"{_W} SELECT day, event_type, row_count FROM w WHERE ref_micro_ts >= {_US.format(10)} AND ref_micro_ts < {_US.format(20)}",
+    "poll_settle": f"{_W} SELECT day, event_type FROM w WHERE ref_micro_ts < {_US.format(20)} - 16000000",
+    "poll_page": f"{_W} SELECT token, ref_micro_ts FROM w ORDER BY {_REF} LIMIT 7",
+    "poll_gated": f"{_W} SELECT token FROM w WHERE event_type <> 'error' ORDER BY {_REF} LIMIT 7",
+    "poll_records": f"{_W} SELECT e.event_id, e.day FROM e JOIN w USING (day, event_type) WHERE w.ref_micro_ts >= {_US.format(10)} AND w.ref_micro_ts < {_US.format(20)}",
+    "range_latest": f"{_W} SELECT e.day, e.event_type, e.user_id, e.value FROM e JOIN w USING (day, event_type) WHERE w.ref_micro_ts < {_US.format(15)} QUALIFY row_number() OVER (PARTITION BY e.day, e.event_type, e.user_id ORDER BY e.ver DESC) = 1",
+    "restamp_bag": f"{_E} SELECT event_id FROM e UNION ALL SELECT event_id FROM e WHERE event_type = 'click'",
+    "partition_keys": f"{_W} SELECT DISTINCT 'day=' || day || '/event_type=' || event_type AS key FROM w",
+    "partition_intersect": f"{_W} SELECT DISTINCT day FROM w WHERE event_type = 'click' INTERSECT SELECT DISTINCT day FROM w WHERE event_type = 'purchase' AND row_count > 60",
+    "view_distinct": f"{_E} SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS user_id FROM e",
+    "view_lookup": f"{_E} SELECT DISTINCT event_type, day FROM e WHERE event_type = 'view' AND day >= '2024-01-10' AND day < '2024-01-20'",
+    "view_time_layout": "SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus FROM orders",
+    "view_skip": f"{_E} SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS user_id FROM e WHERE value >= 150",
+    "view_lossy_bind": f"{_E} SELECT event_type FROM (SELECT DISTINCT event_type, user_id FROM e)",
+    "backfill_stats": f"{_E} SELECT count(*) AS data_objects, CAST(sum(n) AS BIGINT) AS records, CAST(sum(m) AS BIGINT) AS markers FROM (SELECT day, event_type, count(*) AS n, count(DISTINCT user_id) AS m FROM e GROUP BY day, event_type)",
+    "idempotent_retry": f"{_E} SELECT event_id FROM e WHERE day = '2024-01-05'",
+    "inserted_at_column": f"{_E} SELECT event_id, TIMESTAMP '2024-02-01 00:00:00' AS inserted_at FROM e WHERE day = '2024-01-05'",
+    "write_results": f"{_W} SELECT 'day=' || day || '/event_type=' || event_type AS hive_key, row_count FROM w",
+    "store_commits": f"{_W} SELECT 'day=' || day || '/event_type=' || event_type AS hive_key, row_count FROM w WHERE starts_with(day, '2024-01-0')",
+    "store_latest": f"{_E} SELECT event_id, day, CASE WHEN event_id % 2 = 0 THEN value * 2 ELSE value END AS value FROM e WHERE day >= '2024-01-02' AND day < '2024-01-05' AND event_type = 'click'",
+}

@@ -1,0 +1 @@
+"""Datasets on storage: layout, logs, writers and readers."""
