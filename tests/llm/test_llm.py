@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import chat_format, components, html_extract, katz, license_scan, mixing, near_dedup, packing, quality_rules, vector_search, warc
 from tidemark.llm.zip_ranges import ZipRanges
 
-DOC = "doc_id long, text string, source string, lang string, n_chars long, size long"
+DOC = "doc_id long, text string, source string, lang string, n_chars long, size long, tk long, spans long, id long"
 
 
 def lowered(t):
@@ -38,8 +38,8 @@ def corpus():
     texts += [None, "", " \t\n\x0b\x0c\r ", "one", "two words", texts[0], texts[0], texts[1] + " end", "x\n\nx\nx \ny\n" * 20]
     texts += ["Released under the MIT License. " * 3, "Apache License, Version 2.0 and CC BY-NC 4.0", "licensed under the GNU General Public License"]
     texts.append(" ".join(f"w{k % 3000}" for k in range(20000)))
-    rows = [(k, t, r.choice(["b", "a", None, "é"]), "en", len(t or ""), 5) for k, t in enumerate(texts)]
-    rows += [rows[0], rows[40], (None, "null id text the of", "a", None, None, None), (None, None, None, None, None, None), (3, "same id, other text", "a", None, 0, 0)]
+    rows = [(k, t, r.choice(["b", "a", None, "é"]), "en", len(t or ""), 5, 6, 7, 8) for k, t in enumerate(texts)]
+    rows += [rows[0], rows[40], (None, "null id text the of", "a", *[None] * 6), (None,) * 9, (3, "same id, other text", "a", None, 0, 0, 0, 0, 0)]
     return rows
 
 
@@ -448,7 +448,7 @@ def test_taken_words(spark, docs, none):
 
 
 def test_slots_are_permutations(spark):
-    rows = [(k, " ".join(["w"] * 97), "ab"[k % 2], None, None, None) for k in range(40)]
+    rows = [(k, " ".join(["w"] * 97), "ab"[k % 2], *[None] * 6) for k in range(40)]
     m = mixing.Mixer(spark.createDataFrame(rows, DOC), mixing.Mix(block_words=7, shard_slots=32))
     blocks = {r.s: r.blocks for r in m.sources.collect()}
     seen = collections.Counter((r.s, r["pass"], r.block) for r in m.slots().collect())

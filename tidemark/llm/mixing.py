@@ -185,18 +185,21 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     m = Mixer(docs, mix)
     parts = m.pieces(m.placed()).join(m.slots().select("s", "block", "pass"), ["s", "block"])
     spans = parts.groupBy("doc_id", "tk", "start", "pass", "size").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    spans = spans.withColumnRenamed("size", "_size").withColumn("_id", F.coalesce("doc_id", F.lit(0))).drop("doc_id")
-    full = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_tk", _text_key(docs)).dropDuplicates(["_id", "_tk"])
-    df = full.join(spans.withColumnRenamed("tk", "_tk"), ["_id", "_tk"])
-    # words with the white space behind them
-    body = F.regexp_replace("text", f"^[{SPACE}]+", "")
-    df = df.withColumn("_w", F.split(body, f"(?<=[{SPACE}])(?=[^{SPACE}])"))
-    some = F.array_join(F.transform("spans", lambda x: F.array_join(F.slice(F.col("_w"), (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")), "")), "")
-    whole = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"]) == F.col("_size")
-    df = df.withColumn("text", F.when(whole, F.col("text")).otherwise(F.rtrim(some)))
+    used = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"])
+    spans = spans.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "tk", "spans", (used == F.col("size")).alias("whole"))
+    # the document's own columns stay in a struct, where no name of theirs can clash
+    full = docs.select(F.struct(*docs.columns).alias("d"), F.coalesce("doc_id", F.lit(0)).alias("id"), _text_key(docs).alias("tk")).dropDuplicates(["id", "tk"])
+    df = full.join(spans, ["id", "tk"])
+    # words with the white space behind them, where only some are taken
+    body = F.regexp_replace(F.col("d.text"), f"^[{SPACE}]+", "")
+    df = df.withColumn("w", F.when(~F.col("whole"), F.split(body, f"(?<=[{SPACE}])(?=[^{SPACE}])")))
+    some = F.array_join(F.transform("spans", lambda x: F.array_join(F.slice(F.col("w"), (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")), "")), "")
+    # `w` is read here too, so that it stays a column: inside the lambda it would be split anew for each span
+    df = df.withColumn("text", F.when(F.col("w").isNull(), F.col("d.text")).otherwise(F.rtrim(some)))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*docs.columns)
+        changed["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return df.select(*[changed.get(c, F.col("d")[c]).alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

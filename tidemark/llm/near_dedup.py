@@ -140,8 +140,9 @@ def deduplicate(docs: DataFrame, radius: int = 2, shingle: int = 3, pair_limit:
     last = F.lit((1 << 63) - 1)
     groups = near_groups(docs, radius, shingle, pair_limit, doc_id, text)
     chosen = groups.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_i"), F.col("tk").alias("_tk"))).alias("k")).select("k._i", "k._tk")
-    keyed = docs.withColumn("_i", F.coalesce(F.col(doc_id).cast("long"), last)).withColumn("_tk", F.xxhash64(F.col(text).cast("string")))
-    return keyed.join(chosen, ["_i", "_tk"], "left_semi").dropDuplicates(["_i", "_tk"]).select(*docs.columns)
+    # the document's own columns stay in a struct, where no name of theirs can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("d"), F.coalesce(F.col(doc_id).cast("long"), last).alias("_i"), F.xxhash64(F.col(text).cast("string")).alias("_tk"))
+    return keyed.join(chosen, ["_i", "_tk"], "left_semi").dropDuplicates(["_i", "_tk"]).select("d.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
