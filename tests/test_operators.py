@@ -132,3 +132,22 @@ def test_views(spark):
     for columns in (("at",), ("n",), ("missing",)):
         with pytest.raises(ValueError):
             views.View("a", columns).check(timed.schema)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_reads_against_a_model(spark, seed):
+    from tidemark.functions import patterns
+
+    r = random.Random(seed)
+    data = [(r.choice(["a", "ab", "b", "日"]), r.choice(["x", "y", "xy"]), f"e{r.randrange(4)}", r.randrange(5), k) for k in range(80)]
+    df = spark.createDataFrame(data, "p string, c string, entity string, ver long, n long")
+    segment = lambda part, v: r.choice(["*", f"{part}={v}", f"{part}={v[0]}*", f"{part}={v}..", f"{part}=..{v}"])
+    found = [f"{segment('p', r.choice(['a', 'ab', 'b', '日']))}/{segment('c', r.choice(['x', 'y']))}" for _ in range(r.randint(1, 3))]
+    kept = [x for x in data if any(patterns.matches(f"p={x[0]}/c={x[1]}", f, ["p", "c"]) for f in found)]
+    read = df.where(patterns.predicate(found, {"p": F.col("p"), "c": F.col("c")}))
+    last, first = {}, {}
+    for x in sorted(kept, key=lambda x: (x[3], x[4])):
+        last[x[:3]] = x
+        first.setdefault(x[:4], x)
+    assert rows(latest(read, ["p", "c"], ["entity"], "ver", ["n"]), "p", "c", "entity", "ver", "n") == sorted(last.values())
+    assert rows(history(read, ["p", "c"], ["entity"], "ver", ["n"]), "p", "c", "entity", "ver", "n") == sorted(first.values())

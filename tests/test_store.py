@@ -323,3 +323,13 @@ def test_process_entries(spark, made):
     got = []
     end = source.process_entries(spark, store.reader, "", lambda e, r: got.extend(values(r)), page=2)
     assert sorted(got) == [0, 1, 2] and source.process_entries(spark, store.reader, end, lambda e, r: got.append(None)) == end and None not in got
+
+
+def test_counters(spark, made):
+    store, _ = made()
+    store.write(df(spark, ROWS))
+    with pytest.raises(ValueError):
+        store.read(["bad"])
+    assert store.writer.counters["calls.write"] == 1 and store.writer.counters["records"] == 4
+    assert store.reader.counters["errors.read"] == 1
+    assert [r.value for r in store.read_iter(["*"], read_ahead=False)] == [1, 2, 3, 4]

@@ -16,6 +16,7 @@ from tidemark.operators.dedup import dedup, ordered
 from tidemark.operators.projection import zero_fill
 from tidemark.sources.config import StoreConfig, Timing, load_timing
 from tidemark.sources.log import Logs
+from tidemark.sources.observe import measured
 
 KEY, TIE = "__hive_key", ("__commit", "__file", "__row")
 
@@ -72,23 +73,27 @@ class Reader:
         scan = self._scan(tolerant=False).where(patterns.predicate(found, self._parts()))
         return scan.join(self._commit_names(self.logs.commits()), [KEY, "__commit"], "left_semi")
 
+    @measured
     def read(self, found: Sequence[str], history: bool = False, ordered: bool = False) -> DataFrame:
         """Committed rows of the partitions that any pattern meets; the latest of each entity, or its history."""
         return self._finish(self._snapshot(found), history, ordered)
 
-    def read_iter(self, found: Sequence[str], history: bool = False) -> Iterator[Row]:
-        return self.read(found, history, ordered=True).toLocalIterator(prefetchPartitions=True)
+    @measured
+    def read_iter(self, found: Sequence[str], history: bool = False, read_ahead: bool = True) -> Iterator[Row]:
+        return self.read(found, history, ordered=True).toLocalIterator(prefetchPartitions=read_ahead)
 
     def _grouped(self, df: DataFrame, history: bool) -> Iterator[tuple[str, list[Row]]]:
         for key, rows in batches.partitions(self._finish(df, history, True, keep_key=True)):
             yield key, [Row(**{k: v for k, v in r.asDict().items() if k != "hive_key"}) for r in rows]
 
+    @measured
     def read_partitions(self, found: Sequence[str], history: bool = False) -> DataFrame:
         """(key, rows) of each partition as one row."""
         df = self._finish(self._snapshot(found), history, False, keep_key=True)
         order = [*self.config.entity, *([self.config.version] if self.config.version else [])]
         return batches.group_by_partition(df, F.col("hive_key"), order).select("key", F.transform("rows", lambda x: F.struct(*[x[n].alias(n) for n in self.config.schema.names])).alias("rows"))
 
+    @measured
     def read_partition_iter(self, found: Sequence[str], history: bool = False) -> Iterator[tuple[str, list[Row]]]:
         return self._grouped(self._snapshot(found), history)
 
@@ -113,6 +118,7 @@ class Reader:
         passed = stream.passing(stream.visible(self._refs(), since, until, cutoff), self.logs.commits()).where("passes")
         return stream.entries(passed, self._path())
 
+    @measured
     def poll(self, since: str = "", max_entries: int = 1000, until: str = "") -> stream.Page:
         """A page of entries after ``since`` and the offset to go on from."""
         page = stream.poll(self._refs(), self.logs.commits(), since, max_entries, until, self.cutoff_us())
@@ -122,11 +128,13 @@ class Reader:
         segments = F.transform(F.split("key", "/"), lambda s: F.concat(F.lit("__pk_"), s))
         return F.concat(F.lit(self.config.path("data") + "/"), F.array_join(segments, "/"), F.lit("/__commit="), keys.commit_name(F.col("token"), F.col("attempt_id")))
 
+    @measured
     def poll_records(self, since: str = "", max_entries: int = 1000, until: str = "") -> tuple[DataFrame, str]:
         """The records of a page, every version of each entity; the offset moves over refs without records."""
         page = self.poll(since, max_entries, until)
         return self._finish(self._records(page.entries), True, False), page.next_offset
 
+    @measured
     def poll_range(self, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
         """All entries of [since, until); open ends are the first ref and the settled tip at the call."""
         low, high, cutoff = self._bounds(since, until)
@@ -140,12 +148,15 @@ class Reader:
         names = found.select(F.col("key").alias(KEY), keys.commit_name(F.col("token"), F.col("attempt_id")).alias("__commit"))
         return self._scan(tolerant=True).join(names, [KEY, "__commit"])
 
+    @measured
     def read_range(self, since: datetime | None = None, until: datetime | None = None, history: bool = False, ordered: bool = False) -> DataFrame:
         return self._finish(self._records(self.poll_range(since, until)), history, ordered)
 
-    def read_range_iter(self, since: datetime | None = None, until: datetime | None = None, history: bool = False) -> Iterator[Row]:
-        return self.read_range(since, until, history, ordered=True).toLocalIterator(prefetchPartitions=True)
+    @measured
+    def read_range_iter(self, since: datetime | None = None, until: datetime | None = None, history: bool = False, read_ahead: bool = True) -> Iterator[Row]:
+        return self.read_range(since, until, history, ordered=True).toLocalIterator(prefetchPartitions=read_ahead)
 
+    @measured
     def read_partition_range_iter(self, since: datetime | None = None, until: datetime | None = None, history: bool = False) -> Iterator[tuple[str, list[Row]]]:
         return self._grouped(self._records(self.poll_range(since, until)), history)
 
@@ -155,13 +166,16 @@ class Reader:
             raise ForeignEntry(f"{foreign[0][0]} does not lie under {base}")
         return found
 
+    @measured
     def read_entries(self, found: DataFrame, history: bool = False, ordered: bool = False) -> DataFrame:
         """The records of entries that were polled before."""
         return self._finish(self._records(self._own(found)), history, ordered)
 
-    def read_entries_iter(self, found: DataFrame, history: bool = False) -> Iterator[Row]:
-        return self.read_entries(found, history, ordered=True).toLocalIterator(prefetchPartitions=True)
+    @measured
+    def read_entries_iter(self, found: DataFrame, history: bool = False, read_ahead: bool = True) -> Iterator[Row]:
+        return self.read_entries(found, history, ordered=True).toLocalIterator(prefetchPartitions=read_ahead)
 
+    @measured
     def read_partition_entries_iter(self, found: DataFrame, history: bool = False) -> Iterator[tuple[str, list[Row]]]:
         return self._grouped(self._records(self._own(found)), history)
 

@@ -17,6 +17,7 @@ from tidemark.operators.batches import group_by_partition
 from tidemark.operators.projection import zero_fill
 from tidemark.sources.config import StoreConfig, Timing, load_timing
 from tidemark.sources.log import Commit, Logs, WriteResult
+from tidemark.sources.observe import measured
 
 
 class CommitAfterTimeout(RuntimeError):
@@ -61,6 +62,7 @@ class Writer:
     def group_by_partition(self, df: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
         return group_by_partition(df, self.partition_key(), order).orderBy("key")
 
+    @measured
     def lookup_commit(self, partition: str, token: str) -> WriteResult | None:
         """The result of an earlier write, without reading data."""
         patterns.check_key(partition, list(self.config.parts))
@@ -68,15 +70,18 @@ class Writer:
         c = self.logs.find(partition, token)
         return self.logs.result(c, ref_name(c.ref_micro_ts, c.token, c.attempt_id, c.partition)) if c else None
 
+    @measured
     def write(self, df: DataFrame, token: str | None = None, token_of: Column | Callable[[str], str] | None = None, inserted_at: datetime | None = None, optimistic: bool = False) -> list[WriteResult]:
         """Writes every partition of ``df``; results by ascending key.
 
         ``token_of`` is an aggregate over a partition's rows, or a function of
         its key.  One job writes all partitions; if it fails nothing is
-        visible.
+        visible.  ``df`` is evaluated for its keys and again for its rows, so
+        it must give the same rows each time.
         """
         return self._write(df, self.config.part_columns(), token, token_of, inserted_at, optimistic)
 
+    @measured
     def write_with_key(self, key: str, df: DataFrame, token: str | None = None, token_of: Column | Callable[[str], str] | None = None, inserted_at: datetime | None = None, optimistic: bool = False) -> WriteResult | None:
         """Writes all of ``df`` to one partition, whatever its rows say."""
         values = patterns.check_key(key, list(self.config.parts))
@@ -181,6 +186,7 @@ class Writer:
             late |= after
         return late
 
+    @measured
     def restamp(self, prior: WriteResult) -> WriteResult:
         """A new ref for data that consumers may have passed."""
         base = self.config.path("data") + "/"
