@@ -18,7 +18,8 @@ or source with a third of the rows makes no difference.
 Ids come from the byte-level BPE vocabulary at ``vocabulary``.  Texts of
 printable ASCII, Latin and white space take a faster tokenizer with the same
 vocabulary, for which both were found to agree on all such texts; any other
-character, or the name of the special token, takes the reference tokenizer.
+character, a very long run of one kind, or the name of the special token takes
+the full tokenizer.
 
 Defined results: a null or empty text is the end id alone; null identifiers
 are kept; repeated rows are packed as pieces of their own; pieces of equal
@@ -51,7 +52,14 @@ VOCABULARY = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECE}, sequence_id long, offset long"
 #: Texts of these characters only have the same ids by either tokenizer.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*", re.ASCII)
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*")
+#: Longer runs of one kind take the full tokenizer: the fast one's time grows with their square.
+LONG_RUN = 500
+BLANKS = re.compile(rf"\s{{{LONG_RUN}}}")
+
+
+def _plain(text: str) -> bool:
+    return PLAIN.fullmatch(text) is not None and "<|endoftext|>" not in text and max(map(len, text.split()), default=0) < LONG_RUN and not BLANKS.search(text)
 
 
 @lru_cache(maxsize=2)
@@ -71,7 +79,7 @@ def token_ids(text: str | None, vocabulary: tuple[str, str] = VOCABULARY) -> np.
     """The ids of one text and the end id, as little-endian unsigned 32-bit numbers."""
     full, fast = _encoders(vocabulary)
     text = text or ""
-    if PLAIN.fullmatch(text) and "<|endoftext|>" not in text:
+    if _plain(text):
         ids = fast.encode_ordinary(text)
     else:
         ids = full.encode(text, add_special_tokens=False).ids
