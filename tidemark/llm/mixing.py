@@ -45,6 +45,8 @@ class Mix:
     shard_slots: int = 4096
     docs_per_bucket: int = 256
     rounds: int = 6
+    #: Up to so many sources their table is broadcast.
+    broadcast_sources: int = 10_000
     seed: int = 20240229
 
 
@@ -89,7 +91,9 @@ class Mixer:
         want = targets(sizes, mix)
         self.slots_for = [t * b / x if x else 0.0 for t, b, x in zip(want, self.n_blocks, sizes, strict=True)]
         found = [(r["skey"], i, sizes[i], want[i], max(1, b), _multiplier(max(1, b), mix.seed + i)) for i, (r, b) in enumerate(zip(per_source, self.n_blocks, strict=True))]
-        self.sources = self.spark.createDataFrame(found, "skey string, s int, source_size long, target double, blocks long, a long")
+        sources = self.spark.createDataFrame(found, "skey string, s int, source_size long, target double, blocks long, a long")
+        # a row for each source: broadcast while they are few, which is known here, and merged beyond
+        self.sources = F.broadcast(sources) if len(found) <= mix.broadcast_sources else sources.hint("merge")
 
     def placed(self) -> DataFrame:
         """Each row with its source and the place of its first word in the source's stream."""
@@ -139,7 +143,11 @@ class Mixer:
         return df.select(F.col("id").alias("shard"), F.posexplode("counts").alias("s", "n"))
 
     def slots(self) -> DataFrame:
-        """(s, block, pass, shard): each slot of the mix with its block."""
+        """(s, block, pass, shard): each slot of the mix with its block.
+
+        Spark guesses its size from the number of shards, far too small, so
+        joins with it are told to merge: it must never be broadcast.
+        """
         before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         df = self.shards().withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
         df = df.join(self.sources.select("s", "blocks", "a"), "s")
@@ -168,7 +176,7 @@ def taken_words(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken."""
     m = Mixer(docs, mix)
     placed = m.placed()
-    uses = m.slots().groupBy("s", "block").agg(F.count(F.lit(1)).alias("uses"))
+    uses = m.slots().groupBy("s", "block").agg(F.count(F.lit(1)).alias("uses")).hint("merge")
     taken = m.pieces(placed).join(uses, ["s", "block"], "left")
     own = ["doc_id", "tk", "s", "start", "size", "source_size", "target"]
     taken = taken.groupBy(*own).agg(F.sum((F.col("hi") - F.col("lo")) * F.coalesce("uses", F.lit(0))).alias("taken"))
@@ -183,7 +191,7 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     anew.  White space between taken words is that of the text.
     """
     m = Mixer(docs, mix)
-    parts = m.pieces(m.placed()).join(m.slots().select("s", "block", "pass"), ["s", "block"])
+    parts = m.pieces(m.placed()).join(m.slots().select("s", "block", "pass").hint("merge"), ["s", "block"])
     spans = parts.groupBy("doc_id", "tk", "start", "pass", "size").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     used = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"])
     spans = spans.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "tk", "spans", (used == F.col("size")).alias("whole"))
