@@ -116,6 +116,10 @@ STORY = ["A first paragraph, with commas, of some length so that it counts.", "S
         '<main><header class="site-header"><h1>Title &amp; more</h1></header>{}<form><p>Name, please.</p><input></form><section id="related-posts"><p>Other, more.</p></section></main>'.replace('class="site-header"', ""),
         '<table><tr><td class="sidebar">Menu, menu.</td><td><h2>Title &amp; more</h2>{}</td></tr></table><script>var x = "<p>no</p>";</script>',
         "<div class=cookie-notice>We use cookies, sorry.</div><div><h1>Title &amp; more</h1>{}</div>",
+        '<body><div class="wide no-sidebar"><h1>Title &amp; more</h1>{}</div><div class="adbox">Buy, now.</div></body>',
+        '<body><div class="widget"><h1>Title &amp; more</h1>{}</div></body>',
+        '<body><div id="wrapper"><div class="header"><h1>Site</h1><p>All the news, every day, for all.</p></div><div class="main"><h2>Title &amp; more</h2>{}</div></div></body>',
+        '<div class="post"><header><h1 id="comments">Title &amp; more</h1></header>{}</div><div class="Footer">foot</div>',
     ],
 )
 def test_html_extract(page):
@@ -127,6 +131,8 @@ def test_html_extract_odd_pages(spark):
     for page in ("", None, "<", "<p", "<!-- never closed", "<script>x", "plain text", "<a b='", "</p></div>", "<p>x<p>y" * 1000, "<div>" * 3000 + "deep text"):
         html_extract.extract(page)
     assert html_extract.extract("plain &lt;text&gt;") == "plain <text>"
+    assert html_extract.extract("<article><p>One</p><ul><li><a href=x>Two</a></ul></article>") == "One\nTwo"
+    assert html_extract.extract("<article></article><div class=ad><p>Buy, now.</p></div>") == ""
     assert html_extract.extract("<article><p>One\n two<br>three&nbsp;</p></article>") == "One two three"
     rows = [(1, "u", "<article><p>x</p></article>", 0), (1, "u", "<article><p>x</p></article>", 0), (None, None, None, None)]
     got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()

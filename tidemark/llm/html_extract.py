@@ -11,7 +11,8 @@ selected nodes; its blocks are the text.
 
 Parts that HTML marks as no article (nav, aside, footer, form, ...), or whose
 class, id or role says so (sidebar, advert, cookie, comments, ...), are left
-out before paths are summed.
+out before paths are summed.  A list of links inside an article or main
+element is text like any other; elsewhere it is a menu.
 
 Each page is handled alone, in one pass of linear patterns; memory is that of
 one page.  Defined results: null or empty html gives an empty text; null ids
@@ -55,8 +56,15 @@ IMPLIED = {
 }
 #: Words in class, id or role that mark what is no article.
 BOILERPLATE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars menu menus nav navbar navigation navigations breadcrumb breadcrumbs footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond replies pagination pager widget widgets skip disclaimer copyright legal complementary contentinfo search outbrain taboola paywall dialog".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars menu menus nav navbar navigation navigations breadcrumb breadcrumbs footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond replies pagination pager widget widgets skip disclaimer copyright legal complementary contentinfo search outbrain taboola paywall dialog adbox adslot adunit adspace adbanner adwrapper cookiebar cookiebanner cookienotice commentbox commentform commentsection".split()
 )
+#: Words that deny the ones beside them: "no-sidebar" is no sidebar.
+DENIALS = frozenset("no not non with without has free".split())
+#: Classes and ids of an element whose headers are an article's, and words that make them a page's again.
+ARTICLE_WORDS = frozenset("article post entry story content".split())
+PAGE_WORDS = frozenset("page site wrapper wrap container outer sidebar".split())
+#: Classes and ids of a page's header, outside an article.
+PAGE_HEADERS = frozenset("header site-header main-header top-header global-header siteheader".split())
 KEEPERS = frozenset({"article", "main"})
 
 MARKUP = re.compile(
@@ -91,11 +99,17 @@ class TextBlock:
         return " ".join("".join(self.parts).split())
 
 
-def _words(value: str) -> set[str]:
-    return {w.lower() for w in WORD.findall(value)}
+def _words(value: str) -> list[set[str]]:
+    """The words of each class or id."""
+    return [{w.lower() for w in WORD.findall(x)} for x in value.split()]
 
 
-def _left_out(name: str, attributes: str, inside_keeper: bool) -> bool:
+def _marked_article(attributes: str) -> bool:
+    values = (m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id"))
+    return any(w & ARTICLE_WORDS and not w & (PAGE_WORDS | BOILERPLATE) for v in values for w in _words(v))
+
+
+def _left_out(name: str, attributes: str, inside_keeper: bool, marks: bool = True) -> bool:
     if name in NO_ARTICLE or name == "header" and not inside_keeper:
         return True
     if not attributes or name in ("html", "body"):
@@ -107,15 +121,22 @@ def _left_out(name: str, attributes: str, inside_keeper: bool) -> bool:
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
-        elif name not in KEEPERS and _words(value) & BOILERPLATE:
+        elif key == "id" and name in HEADINGS:
+            continue  # a heading's id is made of its text
+        elif marks and name not in KEEPERS and any(w & BOILERPLATE and not w & DENIALS for w in _words(value)):
+            return True
+        elif marks and name not in KEEPERS and not inside_keeper and key in ("class", "id") and PAGE_HEADERS & set(value.lower().split()):
             return True
         elif key == "role" and value.lower() in ("banner", "navigation", "complementary", "contentinfo", "search", "dialog", "alert"):
             return True
     return False
 
 
-def text_blocks(page: str) -> tuple[list[Node], list[TextBlock]]:
-    """The page's elements and its blocks of text outside what is left out, in order."""
+def text_blocks(page: str, marks: bool = True) -> tuple[list[Node], list[TextBlock]]:
+    """The page's elements and its blocks of text outside what is left out, in order.
+
+    Without ``marks``, classes and ids leave nothing out.
+    """
     nodes = [Node("", "", False, False, False, -1, 0)]
     stack = [0]
     blocks: list[TextBlock] = []
@@ -195,7 +216,7 @@ def text_blocks(page: str) -> tuple[list[Node], list[TextBlock]]:
             continue
         top = nodes[stack[-1]]
         inside = top.keeper
-        nodes.append(Node(name, f"{top.path}/{name}", top.out or _left_out(name, m[3], inside), top.link or name == "a", inside or name in KEEPERS, stack[-1], top.depth + 1))
+        nodes.append(Node(name, f"{top.path}/{name}", top.out or _left_out(name, m[3], inside, marks), top.link or name == "a", inside or name in KEEPERS or _marked_article(m[3]), stack[-1], top.depth + 1))
         if not (m[3].endswith("/") and name not in BLOCK):
             stack.append(len(nodes) - 1)
     return nodes, [b for b in blocks if b.text()]
@@ -224,7 +245,10 @@ def extract(page: str | None, threshold: float = 0.5) -> str:
         return ""
     nodes, blocks = text_blocks(page)
     if not blocks:
-        return ""
+        # the whole article may lie in an element with a misleading class; its title tells it from an advert
+        nodes, blocks = text_blocks(page, marks=False)
+        if not any(nodes[b.node].name == "h1" for b in blocks):
+            return ""
     texts = [b.text() for b in blocks]
     smooth = path_ratios(nodes, blocks, texts)
     # a path is content if its nodes' mean ratio reaches a share of the text's mean ratio
@@ -258,7 +282,7 @@ def extract(page: str | None, threshold: float = 0.5) -> str:
     for k in inside:
         b, t = blocks[k], texts[k]
         name = nodes[b.node].name
-        menu = b.link_chars >= 0.8 * len(t) and name in ("li", "div", "section", "td", "dd", "ul") and nodes[b.node].path not in content
+        menu = not keepers and b.link_chars >= 0.8 * len(t) and name in ("li", "div", "section", "td", "dd", "ul") and nodes[b.node].path not in content
         loose = not keepers and name in ("div", "section", "body", "html", "") and nodes[b.node].path not in content and smooth[k] < level
         if not (menu or loose):
             kept.append(t)
