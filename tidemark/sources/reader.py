@@ -209,5 +209,5 @@ def backfill(spark: SparkSession, config: StoreConfig, view: views.View, found:
     ok = F.lit(True) if view.where is None else F.coalesce(view.where, F.lit(False))
     tuples = filled.select(F.concat(KEY, F.lit("/"), "__commit").alias("__object"), *[F.when(ok, x).alias(f"v_{c}") for c, x in text.items()])
     stats = views.backfill_stats(tuples, "__object", [f"v_{c}" for c in view.columns]).first()
-    views.distinct_tuples(filled, view).coalesce(1).write.mode("append").parquet(config.path("views", view.name))
+    views.distinct_tuples(filled, view).write.mode("append").parquet(config.path("views", view.name))
     return stats

@@ -153,7 +153,7 @@ class Writer:
         spread.write.partitionBy(*path).mode("append").option("compression", self.config.codec).parquet(self.config.path("data"))
 
     def _emit(self, view: views.View, rows: DataFrame) -> None:
-        views.distinct_tuples(rows, view).coalesce(1).write.mode("append").parquet(self.config.path("views", view.name))
+        views.distinct_tuples(rows, view).write.mode("append").parquet(self.config.path("views", view.name))
 
     def _commit(self, fresh: list[_Plan], stamped_us: int, results: list[WriteResult]) -> bool:
         """Refs, then each partition's lock, then the log rows of those locked here; whether any came too late.
