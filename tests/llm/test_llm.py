@@ -475,6 +475,15 @@ def test_mixed_documents(docs):
     assert any(r.text in texts for r in rows)
 
 
+def test_mixed_documents_nulls_apart(spark):
+    rows = [(5, None, "a b c d", *[None] * 6), (5, "a b c d", None, *[None] * 6)]
+    mix = mixing.Mix(block_words=2, shard_slots=4)
+    df = spark.createDataFrame(rows, DOC)
+    taken = sum(r.taken for r in mixing.taken_words(df, mix).collect())
+    got = [r.text for r in mixing.mixed_documents(df, mix).collect()]
+    assert taken and None not in got and sum(len(t.split()) for t in got) == taken
+
+
 # 10 ------------------------------------------------------------------------
 
 

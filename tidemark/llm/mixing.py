@@ -169,7 +169,8 @@ class Mixer:
 
 
 def _text_key(docs: DataFrame) -> Column:
-    return F.xxhash64(F.col("text"), F.col("source"), F.col("doc_id").isNull())
+    # hashing passes over nulls, so which columns are null counts too
+    return F.xxhash64("text", "source", *[F.col(c).isNull() for c in ("doc_id", "text", "source")])
 
 
 def taken_words(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
