@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import checkpoint_dir, read
 from tidemark.llm.mixing import mixed_documents
-from tidemark.llm.near_dedup import deduplicate
 from tidemark.llm.packing import pack, pieces
 from tidemark.llm.quality_rules import with_quality
+from tidemark.llm.shingle_dedup import deduplicate_similar
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return deduplicate(docs)
+    """One document of each group of near duplicates: five-word shingles, 0.8 alike or more."""
+    return deduplicate_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("near_dedup", near_duplicates), ("mixing", mixing), ("packing", packing)]
 
-#: Packing, mixing and SimHash have no SQL; tests/llm holds the stages against brute force.
+#: Packing, mixing and MinHash have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

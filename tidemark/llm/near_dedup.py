@@ -135,16 +135,20 @@ def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3, pair_limit:
     return own.join(by_fp, "fp").select("doc_id", "tk", "fp", "root", "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = 2, shingle: int = 3, pair_limit: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: that with the smallest id, null ids last."""
+def one_of_each(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each of ``groups`` (doc_id, tk, root): that with the smallest id, null ids last."""
     last = F.lit((1 << 63) - 1)
-    groups = near_groups(docs, radius, shingle, pair_limit, doc_id, text)
     chosen = groups.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_i"), F.col("tk").alias("_tk"))).alias("k")).select("k._i", "k._tk")
     # the document's own columns stay in a struct, where no name of theirs can clash
     keyed = docs.select(F.struct(*docs.columns).alias("d"), F.coalesce(F.col(doc_id).cast("long"), last).alias("_i"), F.xxhash64(F.col(text).cast("string")).alias("_tk"))
     return keyed.join(chosen, ["_i", "_tk"], "left_semi").dropDuplicates(["_i", "_tk"]).select("d.*")
 
 
+def deduplicate(docs: DataFrame, radius: int = 2, shingle: int = 3, pair_limit: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: that with the smallest id, null ids last."""
+    return one_of_each(docs, near_groups(docs, radius, shingle, pair_limit, doc_id, text), doc_id, text)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every row of ``documents``."""
     df = near_groups(read(spark, sf_dir, "documents"))
