@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint_dir, cut, read
+from tidemark.llm.common import cut, read, scratch
 from tidemark.llm.zip_ranges import filesystem
 
 #: Neither can be a word, as both are white space.
@@ -364,7 +364,7 @@ class Katz:
 
     def __init__(self, docs: DataFrame, model: KatzModel = KatzModel()) -> None:
         self.spark, self.model = docs.sparkSession, model
-        self.folder = f"{checkpoint_dir(self.spark).rstrip('/')}/katz-{uuid.uuid4().hex}"
+        self.folder = scratch(self.spark, "katz")
         self.batches = make_batches(docs, self.folder, model)
         self.n_batches, tokens = self.batches.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
         self.parts = max(1, -(-tokens // model.part_entries))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, read
+from tidemark.llm.common import Sealed, cut, pick, read, row_key
 from tidemark.llm.components import components
 
 BITS = 64
@@ -65,6 +65,11 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist())
 
 
+def keyed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, tk, text); tk is a hash of the text."""
+    return pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("tk"), F.col("text").cast("string"))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, tk, fp): each row's text key (a hash) and fingerprint, as signed longs."""
 
@@ -73,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, doc_id: str
             fps = [fingerprint(t.as_py(), shingle, seed) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "tk", "fp"])
 
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("tk"), F.col(text).cast("string").alias("text"))
+    src = keyed_texts(docs, doc_id, text)
     return src.mapInArrow(run, "doc_id long, tk long, fp long")
 
 
@@ -136,16 +141,22 @@ def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3, pair_limit:
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each of ``groups`` (doc_id, tk, root): that with the smallest id, null ids last."""
+    """``docs`` with one row of each of ``groups`` (doc_id, tk, root).
+
+    It is the row with the smallest id, null ids last; of rows with one id
+    that with the smallest text key; of rows equal in both that with the
+    smallest hash of all columns.
+    """
     last = F.lit((1 << 63) - 1)
     chosen = groups.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_i"), F.col("tk").alias("_tk"))).alias("k")).select("k._i", "k._tk")
-    # the document's own columns stay in a struct, where no name of theirs can clash
-    keyed = docs.select(F.struct(*docs.columns).alias("d"), F.coalesce(F.col(doc_id).cast("long"), last).alias("_i"), F.xxhash64(F.col(text).cast("string")).alias("_tk"))
-    return keyed.join(chosen, ["_i", "_tk"], "left_semi").dropDuplicates(["_i", "_tk"]).select("d.*")
+    table = Sealed(docs, i=doc_id, text=text)
+    keyed = table.df.select("d", F.coalesce(F.col("i").cast("long"), last).alias("_i"), F.xxhash64(F.col("text").cast("string")).alias("_tk"))
+    one = keyed.join(chosen, ["_i", "_tk"], "left_semi").groupBy("_i", "_tk").agg(F.min_by("d", row_key()).alias("d"))
+    return one.select(*table.open())
 
 
 def deduplicate(docs: DataFrame, radius: int = 2, shingle: int = 3, pair_limit: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: that with the smallest id, null ids last."""
+    """``docs`` with one row of each group of fingerprints, as ``one_of_each`` takes it."""
     return one_of_each(docs, near_groups(docs, radius, shingle, pair_limit, doc_id, text), doc_id, text)
 
 

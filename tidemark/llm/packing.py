@@ -44,9 +44,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, read
+from tidemark.llm.common import cut, pick, read
 
 CAPACITY = 2048
+#: So many equal pieces stay together.
+EQUAL_PIECES = 64
 END = 1
 VOCABULARY = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -98,7 +100,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[str, str
                 rows += [(doc, k, min(capacity, n - k), zlib.crc32(ids[k : k + capacity].tobytes()), n) for k in range(0, n, capacity)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE)
+    return pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE)
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -199,9 +201,12 @@ def pack(found: DataFrame, capacity: int = CAPACITY, window: int = 4096, per_tas
         if rows:
             yield flush(last=True)
 
-    found = cut(found)
-    tasks = max(1, math.ceil(found.count() / per_task))
-    spread = found.repartition(tasks, F.xxhash64("doc_id", "start", "ids_crc32")).sortWithinPartitions("doc_id", "start", "length", "ids_crc32")
+    # equal pieces are counted where they were cut, then dealt out in groups, so that a piece that a third of the rows repeat is many keys
+    found = cut(found.groupBy(*[f.split()[0] for f in PIECE.split(", ")]).agg(F.count(F.lit(1)).alias("copies")))
+    tasks = max(1, math.ceil((found.agg(F.sum("copies")).first()[0] or 0) / per_task))
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    spread = each.repartition(tasks, F.xxhash64("doc_id", "start", "ids_crc32"), F.floor(F.col("copy") / EQUAL_PIECES))
+    spread = spread.sortWithinPartitions("doc_id", "start", "length", "ids_crc32").drop("copies", "copy")
     return spread.mapInPandas(run, PACKED)
 
 

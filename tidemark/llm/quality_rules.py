@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, read, words
+from tidemark.llm.common import SPACE, Sealed, read, words
 
 # Frequent function words of the four languages in the corpus.
 STOP_WORDS = (
@@ -54,8 +54,11 @@ RULES = (
 )
 
 
-def with_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """``docs`` with ``q_*`` measures, ``q_failed`` (names of rules not met) and ``q_kept``."""
+def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """``docs`` with ``q_*`` measures, ``q_failed`` (names of rules not met) and ``q_kept``.
+
+    ``docs`` must have no columns of these names, nor ``q__*``: see ``Sealed``.
+    """
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # layer 1: words and lines
     df = docs.withColumns({
@@ -105,6 +108,14 @@ def with_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
     return df.withColumn("q_kept", (F.size("q_failed") == 0) & fence)
 
 
+def with_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """``docs`` with the columns of ``measured``, which replace columns of ``docs`` of the same name."""
+    table = Sealed(docs, text=text)
+    df = measured(table.df, rules)
+    new = [c for c in df.columns if c.startswith("q_")]
+    return df.select(*[c for c, n in zip(table.open(), table.names, strict=True) if n not in new], *new)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules' measures and verdict for every row of ``documents``."""
     df = with_quality(read(spark, sf_dir, "documents").select("doc_id", "text"))

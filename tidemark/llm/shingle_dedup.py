@@ -1,20 +1,28 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""Near-duplicates by five-word similarity: the SimHash operator, widened and verified.
 
 Texts whose sets of ``shingle``-word shingles are at least ``similarity``
-alike are linked, and documents that links connect are one group.
-
-Candidates come from MinHash bands: texts that agree in all ``rows`` minima
-of one of ``bands`` bands.  A pair of similarity s is a candidate with
-probability 1 - (1 - s^rows)^bands, 0.999995 at 0.8 and more above.  A SimHash
-radius wide enough for the same pairs (11 of 64 bits and beyond) would take
-2^12 covering tables.  Every candidate is verified on the whole sets of
-shingles, as 64-bit hashes, so no pair is linked that is less alike.
-
-Scale: equal texts fold into one row before the search.  A bucket of up to
-``pair_limit`` texts compares its pairs.  In a larger one all texts are
-compared with one of them, then with others as long as the links found so far
-leave the bucket in several parts; what is still apart after ``pivots``
-rounds is compared pair by pair across the parts, so none is left out.
+alike (Jaccard) are linked, and documents that links connect are one group.
+
+Candidates are texts that meet in a table.  The first tables are the covering
+masks of ``near_dedup`` over the fingerprint of the same shingles: pairs within
+``radius`` bits all meet.  Similarity 0.8 lies beyond: such pairs differ in 15 %
+of a fingerprint's bits on average, and covering 11 of 64 bits would take 4,095
+tables.  So the other tables are MinHash bands: texts that agree in all
+``rows`` minima of one of ``bands`` bands, which a pair of similarity s does
+with probability 1 - (1 - s^rows)^bands, 0.999995 at 0.8 and more above.
+Every candidate is verified on the whole sets of shingles, as 64-bit hashes,
+so no pair is linked that is less alike.
+
+Scale: equal texts fold into one row before the search.  A text meets the one
+with the least key in each of its tables first, which links a group of copies
+by one pair a member.  Where a table's texts are still in several groups, small
+tables (up to ``pair_limit`` texts) compare what is apart pair by pair; in a
+larger one all are compared with one of them, then with others; what is apart
+after ``pivots`` rounds is joined by its rarest shingles: two sets alike must
+share one of the first (1 - similarity) n + 1 shingles of each in one order, here
+from rare to frequent, so passages that many texts share meet nowhere and no
+link is lost.  Each pair is verified once; sets are made once, of texts that
+meet another.
 
 Defined results: as in ``near_dedup``; null and empty texts and texts without
 words are alike, and a text of fewer words than a shingle is one shingle.
@@ -33,9 +41,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 from tidemark.llm.components import components
-from tidemark.llm.near_dedup import one_of_each
+from tidemark.llm.near_dedup import keyed_texts, masks, one_of_each
 
 _M = np.uint64(0x9E3779B97F4A7C15)
+#: A hub's pairs are dealt to so many tasks.
+SALTS = 64
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -66,6 +76,21 @@ def _functions(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return a | np.uint64(1), b
 
 
+def simhash(h: np.ndarray) -> int:
+    """The fingerprint of a set of shingles: each bit's majority."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 16):
+        part = h[k : k + (1 << 16)]
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def mask_keys(h: np.ndarray, radius: int) -> np.ndarray:
+    """A key for each covering table."""
+    tables = np.array(masks(radius), np.uint64)
+    return _mixed((np.uint64(simhash(h)) & tables) * _M - np.arange(1, len(tables) + 1, dtype=np.uint64))
+
+
 def band_keys(h: np.ndarray, bands: int, rows: int, seed: int = 42) -> np.ndarray:
     """A key for each band: the minima of its ``rows`` hash functions, folded."""
     a, b = _functions(bands * rows, seed)
@@ -99,68 +124,107 @@ def _alike(x: Column, y: Column, similarity: float) -> Column:
     return F.least(x, y) + 1e-9 >= similarity * F.greatest(x, y)
 
 
+def _pairs(x: str | Column, y: str | Column) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
 class _Search:
-    """Verified links between the distinct texts of ``src`` (doc_id, tk, text)."""
+    """Verified links between texts with ``sets`` (tk, h), each pair looked at once."""
 
-    def __init__(self, src: DataFrame, similarity: float, shingle: int) -> None:
-        self.src, self.similarity, self.shingle = src, similarity, shingle
+    def __init__(self, sets: DataFrame, similarity: float) -> None:
+        self.sets, self.similarity = sets, similarity
+        self.seen: DataFrame | None = None
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) whose sets of shingles are alike."""
-        shingle = self.shingle
-
-        def make(text: str | None) -> tuple[int, np.ndarray]:
-            h = shingles(text, shingle)
-            return len(h), h
-
-        pairs = cut(pairs.distinct())
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("tk")).distinct()
-        # texts of candidates only, each once
-        texts = self.src.join(nodes, "tk", "left_semi").select("doc_id", "tk", "text").dropDuplicates(["tk"])
-        sets = cut(_mapped(texts, "h", make).select("tk", "h"))
-        both = pairs.join(sets.select(F.col("tk").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("tk").alias("b"), F.col("h").alias("hb")), "b")
+        """Those of ``pairs`` (a, b) that were not looked at before and are alike."""
+        pairs = pairs.distinct()
+        if self.seen is not None:
+            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
+        pairs = cut(pairs)
+        self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
+        # the text that many others are compared with is a hub: its set is given to several tasks
+        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+        hubs = salted.select("a", "salt").distinct().join(self.sets.select(F.col("tk").alias("a"), F.col("h").alias("ha")), "a")
+        both = salted.join(self.sets.select(F.col("tk").alias("b"), F.col("h").alias("hb")), "b").join(hubs, ["a", "salt"])
         both = both.select("a", "b", (F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("common"))
         return cut(both.where(F.col("common") + 1e-9 >= self.similarity * (F.col("n") - F.col("common"))).select("a", "b"))
 
 
+def _by_rare_shingles(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of ``texts`` (tk, root) of different roots that share one of each other's rarest shingles.
+
+    Every pair alike is among them, whatever order the shingles stand in.
+    """
+    h = sets.join(texts, "tk").select("tk", "root", F.size("h").alias("n"), F.explode("h").alias("x"))
+    seen = h.groupBy("x").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # shingles of one text only link nothing, but stand in the order before all others
+    h = cut(h.join(seen, "x"))
+    shared = h.groupBy("tk", "root", "n").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("s"))
+    first = F.floor((1 - similarity) * F.col("n") + 1e-9) + 1 - (F.col("n") - F.size("s"))
+    # shingles that this text has alone take up the first places
+    met = shared.where(first > 0).select("tk", "root", "n", F.explode(F.slice("s", 1, first.cast("int"))).alias("s")).select("tk", "root", "n", F.col("s.x").alias("x"))
+    met = cut(met)
+    other = met.select("x", F.col("tk").alias("y"), F.col("root").alias("yr"), F.col("n").alias("yn"))
+    found = met.join(other, "x").where((F.col("tk") < F.col("y")) & (F.col("root") != F.col("yr")) & _alike(F.col("n"), F.col("yn"), similarity))
+    return found.select(*_pairs("tk", "y"))
+
+
 def similar_groups(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 40, rows: int = 6, pair_limit: int = 32, pivots: int = 3, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    similarity: float = 0.8,
+    shingle: int = 5,
+    radius: int = 2,
+    bands: int = 40,
+    rows: int = 6,
+    pair_limit: int = 32,
+    pivots: int = 3,
+    doc_id: str = "doc_id",
+    text: str = "text",
 ) -> DataFrame:
     """(doc_id, tk, root) for every row of ``docs``; ``root`` tells groups apart."""
 
     def make(value: str | None) -> tuple[int, np.ndarray]:
         h = shingles(value, shingle)
-        return len(h), band_keys(h, bands, rows)
+        return len(h), np.concatenate([mask_keys(h, radius) if radius else h[:0], band_keys(h, bands, rows)])
 
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("tk"), F.col(text).cast("string").alias("text"))
-    search = _Search(src, similarity, shingle)
+    def make_set(value: str | None) -> tuple[int, np.ndarray]:
+        h = shingles(value, shingle)
+        return len(h), h
+
+    src = keyed_texts(docs, doc_id, text)
     own = cut(_mapped(src, "keys", make))
     keys = own.dropDuplicates(["tk"]).select("tk", "size", F.explode("keys").alias("key"))
-    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = cut(keys.join(full, "key").select("key", "tk", "size", "n"))
-
-    members = met.where(F.col("n") <= pair_limit).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("tk", "size"))).alias("s"))
-    pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.filter("s", lambda y, j: (j > i) & _alike(x["size"], y["size"], similarity)), lambda y: F.struct(x["tk"].alias("a"), y["tk"].alias("b")))))
-    links = search.verified(members.select(F.explode(pairs).alias("p")).select("p.a", "p.b"))
-    large = met.where(F.col("n") > pair_limit).select("key", "tk", "size")
+    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tk", "size")).alias("p")).where("n > 1")
+    met = cut(keys.join(full, "key").select("key", "tk", "size", "n", "p"))
+    nodes = met.select("tk").distinct()
+    sets = cut(_mapped(src.join(nodes, "tk", "left_semi").select("doc_id", "tk", "text").dropDuplicates(["tk"]), "h", make_set).select("tk", "h"))
+    search = _Search(sets, similarity)
+
+    first = met.where((F.col("tk") != F.col("p.tk")) & _alike(F.col("size"), F.col("p.size"), similarity))
+    links = search.verified(first.select(*_pairs("tk", "p.tk")))
     roots = components(links)
     for turn in range(pivots + 1):
-        placed = large.join(roots.withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
+        placed = met.join(roots.withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk")).select("key", "tk", "size", "n", "root")
         apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("tk", F.lit(turn)).alias("o"), "tk", "size", "root")).alias("p")).where("lo < hi")
-        apart = cut(apart.select("key", "p"))
+        apart = cut(placed.join(apart.select("key", "p"), "key").where((F.col("n") > pair_limit) | F.lit(turn == 0)))
         if apart.isEmpty():
             break
+        small, large = apart.where(F.col("n") <= pair_limit), apart.where(F.col("n") > pair_limit)
+        each = (F.col("xr") != F.col("root")) & _alike(F.col("xs"), F.col("size"), similarity)
+        # small tables are done after the first turn
+        x = small.select("key", F.col("tk").alias("x"), F.col("size").alias("xs"), F.col("root").alias("xr"))
+        found = small.join(x, "key").where(each & (F.col("x") < F.col("tk"))).select(*_pairs("x", "tk"))
         if turn < pivots:
-            found = placed.join(apart, "key").select(F.col("p.tk").alias("x"), F.col("p.size").alias("xs"), F.col("p.root").alias("xr"), "tk", "size", "root")
+            more = large.select(F.col("p.tk").alias("x"), F.col("p.size").alias("xs"), F.col("p.root").alias("xr"), "tk", "size", "root").where(each).select(*_pairs("x", "tk"))
         else:
-            x = placed.join(apart, "key", "left_semi").select("key", F.col("tk").alias("x"), F.col("size").alias("xs"), F.col("root").alias("xr"))
-            found = placed.join(x, "key")
-        found = found.where((F.col("xr") != F.col("root")) & _alike(F.col("xs"), F.col("size"), similarity))
-        links = links.unionByName(search.verified(found.select(F.least("x", "tk").alias("a"), F.greatest("x", "tk").alias("b"))))
-        roots = components(links)
+            more = _by_rare_shingles(large.select("tk", "root").distinct(), sets, similarity)
+        new = search.verified(found.unionByName(more) if turn == 0 else more)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            roots = components(links)
     return own.join(roots.withColumnRenamed("node", "tk"), "tk", "left").select("doc_id", "tk", F.coalesce("root", "tk").alias("root"))
 
 
 def deduplicate_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, pair_limit: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: that with the smallest id, null ids last."""
+    """``docs`` with one row of each group, as ``one_of_each`` takes it."""
     return one_of_each(docs, similar_groups(docs, similarity, shingle, pair_limit=pair_limit, doc_id=doc_id, text=text), doc_id, text)

@@ -26,7 +26,6 @@ its nearest end.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import checkpoint_dir, cut, read
+from tidemark.llm.common import cut, read, scratch
 from tidemark.llm.zip_ranges import filesystem
 
 KEYED = "vec_id long, is_query boolean, pivot int, dist double, v binary"
@@ -178,7 +177,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 32, sa
                 best.add(np.arange(s, s + len(part)), _scores(b.v[part], b.v), b.ids, b.ids[part])
             yield pa.RecordBatch.from_arrays([pa.array(b.ids[at]), pa.array(best.least), pa.array([x.tobytes() for x in b.v[at]], pa.binary())], names=["q", "least", "v"])
 
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/queries-{uuid.uuid4().hex}"
+    folder = scratch(spark, "queries")
     index.mapInArrow(first_look, "q long, least long, v binary").write.parquet(folder)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint_dir, cut, read
+from tidemark.llm.common import cut, read, scratch
 from tidemark.llm.zip_ranges import ZipRanges, filesystem
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -199,7 +199,7 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``pages`` written to packages and read back."""
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = scratch(spark, "warc")
     packages = write_packages(with_revisits(read(spark, sf_dir, "pages")), folder)
     spread = packages.repartition(max(1, packages.count()), "path")
     return read_packages(spread, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
