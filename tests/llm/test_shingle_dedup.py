@@ -51,15 +51,15 @@ def parts(texts):
     return out
 
 
-@pytest.mark.parametrize("limit,pivots", [(1, 0), (1, 1), (4, 3), (32, 3)])
-def test_similar_groups(spark, limit, pivots):
+@pytest.mark.parametrize("limit", [1, 4, 32])
+def test_similar_groups(spark, limit):
     rows = copies()
     expected = parts({t for _, t in rows})
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     by_key = collections.defaultdict(set)
     for r in df.select(F.xxhash64("text").alias("tk"), "text").collect():
         by_key[r.tk].add(r.text)
-    got = shingle_dedup.similar_groups(df, pair_limit=limit, pivots=pivots).collect()
+    got = shingle_dedup.similar_groups(df, pair_limit=limit).collect()
     assert len(got) == len(rows)
     found = collections.defaultdict(set)
     for r in got:
@@ -93,3 +93,24 @@ def test_long_text_has_all_shingles():
     assert len(shingle_dedup.shingles(" ".join(words))) == 4996
     a, b = (shingle_dedup.shingles(" ".join(w)) for w in (words, words[:4000]))
     assert len(set(a.tolist()) & set(b.tolist())) == 3996
+
+
+def test_simhash_is_the_majority():
+    h = shingle_dedup.shingles(" ".join(f"w{k}" for k in range(100)))
+    bits = [sum(int(x) >> i & 1 for x in h) for i in range(64)]
+    assert shingle_dedup.simhash(h) == sum(1 << i for i in range(64) if 2 * bits[i] > len(h))
+
+
+def test_rare_shingles_miss_no_pair(spark):
+    r = random.Random(5)
+    sets = {}
+    for g in range(6):
+        base = [r.randrange(1 << 40) for _ in range(40)]
+        for _ in range(12):
+            own = set(base) - set(r.sample(base, r.randrange(8))) | {r.randrange(1 << 40) for _ in range(r.randrange(6))}
+            sets[len(sets)] = sorted(own)
+    df = spark.createDataFrame(list(sets.items()), "tk long, h array<long>")
+    got = {(x.a, x.b) for x in shingle_dedup._by_rare_shingles(df.select("tk", F.col("tk").alias("root")), df, 0.8).distinct().collect()}
+    alike_pairs = {(a, b) for a, b in itertools.combinations(sets, 2) if alike(set(sets[a]), set(sets[b]))}
+    assert alike_pairs and alike_pairs <= got
+    assert len(got) < 6 * 12 * 11 / 2

@@ -16,13 +16,10 @@ so no pair is linked that is less alike.
 Scale: equal texts fold into one row before the search.  A text meets the one
 with the least key in each of its tables first, which links a group of copies
 by one pair a member.  Where a table's texts are still in several groups, small
-tables (up to ``pair_limit`` texts) compare what is apart pair by pair; in a
-larger one all are compared with one of them, then with others; what is apart
-after ``pivots`` rounds is joined by its rarest shingles: two sets alike must
-share one of the first (1 - similarity) n + 1 shingles of each in one order, here
-from rare to frequent, so passages that many texts share meet nowhere and no
-link is lost.  Each pair is verified once; sets are made once, of texts that
-meet another.
+tables (up to ``pair_limit`` texts) compare what is apart pair by pair; the
+texts of larger ones are joined by their rarest shingles, of which two sets alike
+share one: passages that many texts share meet nowhere, and no link is lost.
+Each pair is verified once; sets are made once, of texts that meet another.
 
 Defined results: as in ``near_dedup``; null and empty texts and texts without
 words are alike, and a text of fewer words than a shingle is one shingle.
@@ -153,20 +150,20 @@ class _Search:
 def _by_rare_shingles(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs of ``texts`` (tk, root) of different roots that share one of each other's rarest shingles.
 
-    Every pair alike is among them, whatever order the shingles stand in.
+    Every pair alike is among them: the first shingle that both have, in the
+    order from rare to frequent, lies among the first (1 - similarity) n + 1 of
+    each, with so many behind it in both that they can be alike.
     """
     h = sets.join(texts, "tk").select("tk", "root", F.size("h").alias("n"), F.explode("h").alias("x"))
     seen = h.groupBy("x").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    # shingles of one text only link nothing, but stand in the order before all others
-    h = cut(h.join(seen, "x"))
-    shared = h.groupBy("tk", "root", "n").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("s"))
+    # shingles that one text has alone link nothing, but come first in its order
+    shared = h.join(seen, "x").groupBy("tk", "root", "n").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("s"))
     first = F.floor((1 - similarity) * F.col("n") + 1e-9) + 1 - (F.col("n") - F.size("s"))
-    # shingles that this text has alone take up the first places
-    met = shared.where(first > 0).select("tk", "root", "n", F.explode(F.slice("s", 1, first.cast("int"))).alias("s")).select("tk", "root", "n", F.col("s.x").alias("x"))
-    met = cut(met)
-    other = met.select("x", F.col("tk").alias("y"), F.col("root").alias("yr"), F.col("n").alias("yn"))
-    found = met.join(other, "x").where((F.col("tk") < F.col("y")) & (F.col("root") != F.col("yr")) & _alike(F.col("n"), F.col("yn"), similarity))
-    return found.select(*_pairs("tk", "y"))
+    met = shared.where(first > 0).select("tk", "root", "n", F.size("s").alias("m"), F.posexplode(F.slice("s", 1, first.cast("int"))).alias("at", "s"))
+    met = cut(met.select(F.col("s.x").alias("x"), "tk", "root", "n", (F.col("m") - F.col("at")).alias("left")))
+    other = met.select("x", *[F.col(c).alias(f"{c}2") for c in ("tk", "root", "n", "left")])
+    enough = F.least("left", "left2") * (1 + similarity) + 1e-9 >= similarity * (F.col("n") + F.col("n2"))
+    return met.join(other, "x").where((F.col("tk") < F.col("tk2")) & (F.col("root") != F.col("root2")) & enough).select(*_pairs("tk", "tk2"))
 
 
 def similar_groups(
@@ -177,7 +174,6 @@ def similar_groups(
     bands: int = 40,
     rows: int = 6,
     pair_limit: int = 32,
-    pivots: int = 3,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -203,25 +199,16 @@ def similar_groups(
     first = met.where((F.col("tk") != F.col("p.tk")) & _alike(F.col("size"), F.col("p.size"), similarity))
     links = search.verified(first.select(*_pairs("tk", "p.tk")))
     roots = components(links)
-    for turn in range(pivots + 1):
-        placed = met.join(roots.withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk")).select("key", "tk", "size", "n", "root")
-        apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("tk", F.lit(turn)).alias("o"), "tk", "size", "root")).alias("p")).where("lo < hi")
-        apart = cut(placed.join(apart.select("key", "p"), "key").where((F.col("n") > pair_limit) | F.lit(turn == 0)))
-        if apart.isEmpty():
-            break
-        small, large = apart.where(F.col("n") <= pair_limit), apart.where(F.col("n") > pair_limit)
-        each = (F.col("xr") != F.col("root")) & _alike(F.col("xs"), F.col("size"), similarity)
-        # small tables are done after the first turn
-        x = small.select("key", F.col("tk").alias("x"), F.col("size").alias("xs"), F.col("root").alias("xr"))
-        found = small.join(x, "key").where(each & (F.col("x") < F.col("tk"))).select(*_pairs("x", "tk"))
-        if turn < pivots:
-            more = large.select(F.col("p.tk").alias("x"), F.col("p.size").alias("xs"), F.col("p.root").alias("xr"), "tk", "size", "root").where(each).select(*_pairs("x", "tk"))
-        else:
-            more = _by_rare_shingles(large.select("tk", "root").distinct(), sets, similarity)
-        new = search.verified(found.unionByName(more) if turn == 0 else more)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            roots = components(links)
+    placed = met.join(roots.withColumnRenamed("node", "tk"), "tk", "left").select("key", "tk", "size", "n", F.coalesce("root", "tk").alias("root"))
+    apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    apart = cut(placed.join(apart, "key"))
+    small, large = apart.where(F.col("n") <= pair_limit), apart.where(F.col("n") > pair_limit)
+    x = small.select("key", F.col("tk").alias("x"), F.col("size").alias("xs"), F.col("root").alias("xr"))
+    found = small.join(x, "key").where((F.col("x") < F.col("tk")) & (F.col("xr") != F.col("root")) & _alike(F.col("xs"), F.col("size"), similarity))
+    more = _by_rare_shingles(large.select("tk", "root").distinct(), sets, similarity)
+    links = search.verified(found.select(*_pairs("x", "tk")).unionByName(more))
+    # what was found before is stars already
+    roots = components(links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     return own.join(roots.withColumnRenamed("node", "tk"), "tk", "left").select("doc_id", "tk", F.coalesce("root", "tk").alias("root"))
 
 
