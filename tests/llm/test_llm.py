@@ -427,40 +427,99 @@ def test_zip_ranges(monkeypatch):
 # 9 -------------------------------------------------------------------------
 
 
-def test_targets():
-    mix = mixing.Mix()
-    got = mixing.targets([100, 10, 0, 50], mix)
+def targets(sizes, weights=(3, 1, 2), budget=1.5, cap=2):
+    """Words for each source, by sharing out again whatever a full source leaves."""
+    out, left, todo = [0.0] * len(sizes), budget * sum(sizes), [i for i, n in enumerate(sizes) if n]
+    while todo:
+        each = left / sum(weights[i % 3] for i in todo)
+        full = [i for i in todo if each * weights[i % 3] > cap * sizes[i]]
+        if not full:
+            for i in todo:
+                out[i] = each * weights[i % 3]
+            break
+        for i in full:
+            out[i] = cap * sizes[i]
+            left -= out[i]
+        todo = [i for i in todo if i not in full]
+    return out
+
+
+def check_mix(spark, rows, mix, tolerance=0.02):
+    """``rows`` of (doc_id, text, source); the result."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.taken_words(df, mix).collect()
+    same([(r.doc_id, r.size) for r in got], [(d[0], len(split(d[1] or ""))) for d in rows])
+    assert all(0 <= r.taken <= 2 * r.size for r in got)
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(split(t or ""))
+    sources = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    want = dict(zip(sources, targets([sizes[s] for s in sources]), strict=True))
+    by_doc = collections.defaultdict(list)
+    for i, t, s in rows:
+        by_doc[i, len(split(t or ""))].append(s)
+    taken = collections.Counter()
+    for r in got:
+        near = [s for s in by_doc[r.doc_id, r.size] if (sizes[s], want[s]) == (r.source_size, pytest.approx(r.target))]
+        assert near
+        taken[near[0]] += r.taken
+    for s in sources:
+        assert abs(taken[s] - want[s]) <= max(tolerance * want[s], 1 + sizes[s] / mix.least_blocks), s
+    return got
+
+
+def test_targets(spark):
+    rows = [(k, "w " * n, s) for k, (n, s) in enumerate([(100, "a"), (10, "b"), (0, "c"), (50, "d")])]
+    got = {r.doc_id: r.target for r in mixing.taken_words(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     # 240 words at weights 3, 1, 3 (the third has none): the second and fourth sources are full
-    assert got == [pytest.approx(120), 20, 0, 100]
+    assert got == {0: pytest.approx(120), 1: 20, 2: 0, 3: 100}
 
 
 def test_taken_words(spark, docs, none):
-    mix = mixing.Mix(block_words=4, shard_slots=64, docs_per_bucket=8)
-    got = mixing.taken_words(docs, mix).collect()
-    rows = corpus()
-    same([(r.doc_id, r.size) for r in got], [(d[0], len(split(d[1] or ""))) for d in rows])
-    assert all(0 <= r.taken <= 2 * r.size for r in got)
-    sources = sorted({d[2] for d in rows if d[2] is not None}) + [None]
-    sizes = [sum(len(split(d[1] or "")) for d in rows if d[2] == s) for s in sources]
-    want = mixing.targets(sizes, mix)
-    by = {(r.source_size, r.target): 0 for r in got}
-    for r in got:
-        by[r.source_size, r.target] += r.taken
-    assert set(by) == {(n, t) for n, t in zip(sizes, want, strict=True)}
-    for (_, target), taken in by.items():
-        assert abs(taken - target) <= 0.05 * target + 40
+    mix = mixing.Mix(block_words=4, shard_slots=64, docs_per_bucket=8, chunk=3)
+    got = check_mix(spark, [(d[0], d[1], d[2]) for d in corpus()], mix)
+    same(got, mixing.taken_words(docs, mix).collect())
     same(got, mixing.taken_words(docs.repartition(5), mix).collect())
     assert mixing.taken_words(none, mix).count() == 0
+    odd = docs.select("doc_id", "text", "source", F.lit(1).alias("TEXT2"), F.lit(2).alias("a.b"), F.lit(3).alias("skey"))
+    same(got, mixing.taken_words(odd, mix).collect())
+
+
+def test_mixing_a_hot_source_and_many_small_ones(spark):
+    r = random.Random(3)
+    rows = [(k, " ".join(["w"] * r.randrange(60)), "hot") for k in range(3000)]
+    rows += [(3000 + k, " ".join(["w"] * r.randrange(1, 8)), f"s{k % 5000:05}") for k in range(6000)]
+    rows += [(9000, "one row that many repeat", "twice")] * 2000
+    got = check_mix(spark, rows, mixing.Mix(broadcast_sources=10, chunk=50, docs_per_bucket=16, shard_slots=128))
+    repeated = [x.taken for x in got if x.doc_id == 9000]
+    assert len(repeated) == 2000 and max(repeated) > 0
 
 
 def test_slots_are_permutations(spark):
     rows = [(k, " ".join(["w"] * 97), "ab"[k % 2], *[None] * 6) for k in range(40)]
     m = mixing.Mixer(spark.createDataFrame(rows, DOC), mixing.Mix(block_words=7, shard_slots=32))
-    blocks = {r.s: r.blocks for r in m.sources.collect()}
-    seen = collections.Counter((r.s, r["pass"], r.block) for r in m.slots().collect())
-    assert max(seen.values()) == 1 and all(0 <= b < blocks[s] for s, _, b in seen)
+    about = {r.s: r for r in m.sources.collect()}
+    slots = m.slots().collect()
+    seen = collections.Counter((r.s, r["pass"], r.block) for r in slots)
+    assert max(seen.values()) == 1 and all(0 <= b < about[s].blocks for s, _, b in seen)
     first = collections.Counter(s for s, p, _ in seen if p == 0)
-    assert all(first[s] == blocks[s] for s in first if any(x == s and p == 1 for x, p, _ in seen))
+    assert all(first[s] == about[s].blocks for s in first if any(x == s and p == 1 for x, p, _ in seen))
+    assert collections.Counter(r.s for r in slots) == {s: r.n for s, r in about.items() if r.n}
+    # shards are full but for the last, and each draws its sources: counts vary, and sum to the targets
+    shards = collections.Counter(r.shard for r in slots)
+    assert sorted(shards.values())[1:] == [32] * (len(shards) - 1)
+    drawn = {(r.shard, r.s): r.n for r in m.shards().collect()}
+    assert drawn == collections.Counter((r.shard, r.s) for r in slots)
+    counts = [drawn.get((k, 0), 0) for k in range(len(shards) - 1)]
+    share = about[0].n / m.slots_total
+    spread = sum((x - 32 * share) ** 2 for x in counts) / len(counts)
+    assert len(set(counts)) > 3 and 0.3 < spread / (32 * share * (1 - share)) < 2.5
+
+
+def test_permuted_is_a_permutation(spark):
+    for n in (1, 2, 7, 64, 1000):
+        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), 5, F.lit("k")).alias("y")).collect()
+        assert sorted(r.y for r in got) == list(range(n))
 
 
 def test_mixed_documents(docs):

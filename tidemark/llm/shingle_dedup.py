@@ -192,8 +192,11 @@ def similar_groups(
     keys = own.dropDuplicates(["tk"]).select("tk", "size", F.explode("keys").alias("key"))
     full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tk", "size")).alias("p")).where("n > 1")
     met = cut(keys.join(full, "key").select("key", "tk", "size", "n", "p"))
-    nodes = met.select("tk").distinct()
-    sets = cut(_mapped(src.join(nodes, "tk", "left_semi").select("doc_id", "tk", "text").dropDuplicates(["tk"]), "h", make_set).select("tk", "h"))
+    # one row of each text that meets another, asked for by text and id: copies are many keys, not one
+    some_id = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    nodes = own.groupBy("tk").agg(F.min(some_id).alias("id")).join(met.select("tk").distinct(), "tk", "left_semi")
+    texts = src.withColumn("id", some_id).join(nodes, ["tk", "id"], "left_semi").select("doc_id", "tk", "text").dropDuplicates(["tk"])
+    sets = cut(_mapped(texts, "h", make_set).select("tk", "h"))
     search = _Search(sets, similarity)
 
     first = met.where((F.col("tk") != F.col("p.tk")) & _alike(F.col("size"), F.col("p.size"), similarity))
