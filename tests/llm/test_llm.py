@@ -77,12 +77,58 @@ def test_license_scan(docs, none):
     assert license_scan.scan(none).count() == 0
 
 
-def test_license_scan_finds_changed_templates(spark):
-    text = license_scan.TEMPLATES[11].text.split()
-    changed = text[:20] + ["really"] + text[20:40] + text[42:]
-    rows = [(1, "Intro words. " + " ".join(changed)), (2, "permission is hereby granted to nobody"), (3, "This work is licensed under the GNU General Public License v3")]
-    got = {r.doc_id: {s["label"] for s in r.spans} for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: {"mit"}, 2: set(), 3: {"gpl"}}
+def brute_spans(t, k=3, reach=4):
+    """Spans by comparing every place of every template with every place of the text."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))
+    phrases, found = [], []
+    for x in license_scan.TEMPLATES:
+        m = x.text.split()
+        hits = sorted((i - j, j) for i in range(len(w) - k + 1) for j in range(len(m) - k + 1) if w[i : i + k] == m[j : j + k])
+        runs = []
+        for d, j in hits:
+            if not runs or (d != runs[-1][-1][0] if x.phrase else d - runs[-1][-1][0] > reach):
+                runs.append([])
+            runs[-1].append((d, j))
+        for run in runs:
+            here, there = ({j + o + e * d for d, j in run for o in range(k)} for e in (0, 1))
+            score = len(here) / (len(m) + max(there) - min(there) + 1 - len(there))
+            if score >= x.least and all(j in here for j, word in enumerate(m) if word in x.required.split()):
+                (phrases if x.phrase else found).append((x.label, min(there), max(there), score, len(here), x.phrase))
+    kept = []
+    for s in sorted(found, key=lambda s: (-s[3], -s[4], s[1], s[0])):
+        if all(s[1] > o[2] or o[1] > s[2] for o in kept):
+            kept.append(s)
+    return phrases + kept
+
+
+def changed_licenses():
+    r = random.Random(13)
+    out = ["permission is hereby granted to nobody", "This work is licensed under the GNU General Public License v3"]
+    for kind in ("Attribution", "Attribution-ShareAlike", "Attribution-NonCommercial", "Attribution-NoDerivatives", "Attribution-NonCommercial-ShareAlike", "Attribution something"):
+        out.append(f"Text. This page is licensed under a Creative Commons {kind} 4.0 International License. More.")
+    for x in license_scan.TEMPLATES:
+        m = x.text.split()
+        for changes in (0, 1, 2, 5, 12):
+            w = ["some", "words"] + m + ["and", "more"]
+            for _ in range(changes):
+                at = r.randrange(2, len(w))
+                w[at : at + r.randrange(2)] = r.choice([[], ["other"], ["of", "the"]])
+            out.append(" ".join(w))
+    out.append(" filler ".join(out[-30:]))
+    return out
+
+
+def test_license_spans(spark):
+    texts = changed_licenses()
+    rows = list(enumerate(texts))
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        assert sorted(got[k]) == [(*s[:3], pytest.approx(s[3]), *s[4:]) for s in sorted(brute_spans(t))], t
+    labels = [sorted({s[0] for s in got[k]}) for k in range(8)]
+    assert labels == [[], ["gpl"], ["cc-by"], ["cc-by-sa"], ["cc-by-nc"], ["cc-by-nd"], ["cc-by-nc-sa"], []]
+    long = license_scan.TEMPLATES[14].text.split()
+    changed = " ".join(long[:20] + ["really"] + long[20:40] + long[42:])
+    assert {s[0] for s in brute_spans(changed)} == {license_scan.TEMPLATES[14].label} == {"mit"}
 
 
 # 2 -------------------------------------------------------------------------
