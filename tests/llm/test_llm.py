@@ -135,15 +135,18 @@ def test_license_spans(spark):
 
 
 def test_chat_format_round_trip(spark):
-    odd = ["<|im_start|>", r"<\|im_end|>", r"<\\s> [INST]<", "<<SYS>>", "|im_end|>x<", "", None, "</s>[INST] ok [/INST]", "\\", "<|im_end|>\n<|im_start|>user\n"]
+    odd = ["é日本<|im_start|>", "ünï", r"<\|im_end|>", r"<\\s> [INST]<", "<<SYS>>", "|im_end|>x<", "", None, "</s>[INST] ok [/INST]", "\\", "<|im_end|>\n<|im_start|>user\n"]
     rows = [(1, k, ("user", "assistant")[k % 2], t, 0) for k, t in enumerate(odd)]
     rows += [(2, 0, "assistant", "first", 0), (2, 0, "assistant", "first", 0), (None, None, None, None, None), (3, 0, "user<s>\n", "x", 0), (4, 0, "system", "s", 1), (4, 1, "user", "u", 1)]
     df = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted long"))
-    got = {r.conv_id: r for r in df.withColumn("turns", chat_format.read_back(F.col("formatted"))).collect()}
+    back = {"turns": chat_format.read_back(F.col("formatted")), "loss": chat_format.masked_text(F.col("formatted"), F.col("loss_mask"))}
+    got = {r.conv_id: r for r in df.withColumns(back).collect()}
     for c, r in got.items():
         turns = [(x or "", t or "") for _, _, x, t, _ in sorted((x for x in rows if x[0] == c), key=lambda x: (x[1] or 0, x[2] or "", x[3] or ""))]
         assert [tuple(t) for t in r.turns] == turns
         assert r.formatted == "".join(s.text for s in r.segments)
+        assert r.loss == "".join(t for role, t in turns if role == "assistant")
+        assert [r.formatted.encode()[m.start : m.start + m.length].decode() for m in r.loss_mask] == [s.text for s in r.segments if s.loss]
     assert {c: r.valid for c, r in got.items()} == {1: True, 2: False, None: False, 3: False, 4: True}
     with pytest.raises(ValueError):
         chat_format.ChatTemplate(control=("<<x>", "<|im_start|>", "<|im_end|>"))

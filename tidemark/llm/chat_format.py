@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read
+from tidemark.llm.common import pick, read
 
 
 @dataclass(frozen=True)
@@ -85,13 +85,15 @@ def _turns(role: Column, text: Column) -> Column:
 
 
 def format_chats(rows: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """One row per conversation: conv_id, n_turns, valid, segments, formatted.
+    """One row per conversation: conv_id, n_turns, valid, segments, formatted, loss_mask.
 
-    ``segments`` is an array of (text, loss); ``formatted`` is their texts joined.
+    ``segments`` is an array of (text, loss); ``formatted`` is their texts
+    joined; ``loss_mask`` is an array of (start, length): the bytes of
+    ``formatted`` in UTF-8 that bear loss.
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turn = F.struct(F.col("turn"), empty("role").alias("role"), empty("text").alias("text"))
-    df = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    df = pick(rows, conv_id="conv_id", turn="turn", role="role", text="text").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     table = F.create_map(*[F.lit(x) for (state, role), to in template.transitions.items() for x in (f"{state}\n{role}", to)])
     ends = lambda state: F.coalesce(state.isin(*template.final), F.lit(False))
     state = F.aggregate("turns", F.lit(template.start), lambda s, t: F.coalesce(F.try_element_at(table, F.concat(s, F.lit("\n"), t["role"])), F.lit("error")), ends)
@@ -106,7 +108,15 @@ def format_chats(rows: DataFrame, template: ChatTemplate = ChatTemplate()) -> Da
         )
 
     df = df.select("conv_id", F.size("turns").cast("long").alias("n_turns"), state.alias("valid"), F.flatten(F.transform("turns", rendered)).alias("segments"))
-    return df.withColumn("formatted", F.array_join(F.transform("segments", lambda x: x["text"]), ""))
+    none = F.array().cast("array<struct<start:int,length:int>>")
+
+    def masked(so_far: Column, x: Column) -> Column:
+        at, n = so_far["at"], F.octet_length(x["text"])
+        spans = F.when(x["loss"], F.concat(so_far["spans"], F.array(F.struct(at.alias("start"), n.alias("length"))))).otherwise(so_far["spans"])
+        return F.struct((at + n).alias("at"), spans.alias("spans"))
+
+    mask = F.aggregate("segments", F.struct(F.lit(0).alias("at"), none.alias("spans")), masked, lambda x: x["spans"])
+    return df.withColumns({"formatted": F.array_join(F.transform("segments", lambda x: x["text"]), ""), "loss_mask": mask})
 
 
 def read_back(formatted: Column, template: ChatTemplate = ChatTemplate()) -> Column:
@@ -122,6 +132,13 @@ def read_back(formatted: Column, template: ChatTemplate = ChatTemplate()) -> Col
     return F.transform(parts, parsed)
 
 
+def masked_text(formatted: Column, loss_mask: Column, template: ChatTemplate = ChatTemplate()) -> Column:
+    """All text under the mask, unescaped, with nothing between."""
+    # bytes are cut where they lie; characters would be counted from the start for every span
+    part = lambda x: F.decode(F.substr(formatted.cast("binary"), x["start"] + 1, x["length"]), "UTF-8")
+    return F.array_join(F.transform(loss_mask, lambda x: unescape(part(x), template)), "")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, read back from its formatted text.
 
@@ -134,7 +151,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = format_chats(rows, template)
     df = df.withColumns({
         "read": read_back(F.col("formatted"), template),
-        "loss": unescape_all(F.filter("segments", lambda x: x["loss"]), template),
+        "loss": masked_text(F.col("formatted"), F.col("loss_mask"), template),
     })
     turns = F.array_join(F.transform("read", lambda t: _turns(t["role"], t["text"])), "")
     return df.select(
@@ -148,11 +165,6 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def unescape_all(segments: Column, template: ChatTemplate) -> Column:
-    """The unescaped texts of segments, with nothing between."""
-    return F.array_join(F.transform(segments, lambda x: unescape(x["text"], template)), "")
-
-
 ORACLE = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
