@@ -9,6 +9,8 @@ import itertools
 import math
 import random
 import re
+import time
+import tracemalloc
 import zipfile
 import zlib
 
@@ -188,6 +190,95 @@ def test_html_extract_odd_pages(spark):
     same(got, [(1, "u", "x"), (1, "u", "x"), (None, None, "")])
 
 
+FORM = "<body><form action=x><div id=wrap><nav><a href=/>Home</a></nav><h1>Title</h1>{}<label>Your name</label><button>Send it</button></div></form></body>".format("".join(f"<p>{x}</p>" for x in STORY))
+
+
+def test_html_extract_keeps_what_is_text():
+    assert html_extract.extract(FORM) == "\n".join(["Title", *STORY])
+    assert html_extract.extract("<article><p>Energy is <math><mi>E</mi></math> as shown, see <svg><text>fig</text></svg>.</p><form><p>Name, please.</p></form></article>") == "Energy is E as shown, see fig."
+    assert html_extract.extract("<article><p>" + STORY[0] + "</p><table><tr><td>cell, one</td><td>two</td></tr></table></article>") == STORY[0] + "\ncell, one\ntwo"
+    comments = "".join(f"<p>{x * 9}</p>" for x in STORY * 20)
+    assert html_extract.extract(f"<body><div><h1>T</h1><p>{STORY[0]}</p></div><section id=comments>{comments}</section></body>") == "T\n" + STORY[0]
+
+
+def well_formed(r):
+    """A page of nested blocks without odd markup, and its blocks as (path, place of the parent, text, link characters)."""
+    out, blocks, count = [], [], [0]
+
+    def block(depth, path, parent):
+        count[0] += 1
+        own = count[0]
+        name = r.choice(["div", "section"]) if depth < 3 and r.random() < 0.6 else r.choice(["p", "h2", "blockquote"])
+        out.append(f"<{name}>")
+        if name in ("div", "section"):
+            for _ in range(r.randrange(1, 5)):
+                block(depth + 1, (*path, name), own)
+        else:
+            words = " ".join(r.choice(["alpha,", "beta", "gamma.", "delta", "eps;"]) for _ in range(r.randrange(1, 30)))
+            link = r.choice(["", "a link"])
+            out.append(words + (f" <a href=x>{link}</a>" if link else ""))
+            blocks.append(((*path, name), parent, words + (" " + link if link else ""), len(link)))
+        out.append(f"</{name}>")
+
+    for _ in range(3):
+        block(0, (), 0)
+    return "".join(out), blocks
+
+
+def test_html_path_sums_smoothing_and_threshold():
+    r = random.Random(17)
+    for _ in range(60):
+        html, blocks = well_formed(r)
+        page = html_extract.Page(html)
+        assert page.text == [b[2] for b in blocks] and page.links == [b[3] for b in blocks]
+        assert [page.path_names(page.path[k]) for k in page.node] == ["/".join(b[0]) for b in blocks]
+        sums = {}
+        for path in {b[0] for b in blocks}:
+            mine = [b for b in blocks if b[0] == path]
+            sums["/".join(path)] = (len(mine), sum(len(b[2]) for b in mine), sum(c in ".,;" for b in mine for c in b[2]), sum(b[3] for b in mine))
+        assert {page.path_names(p): x for p, x in page.path_sums().items()} == sums
+        own = [sums["/".join(b[0])] for b in blocks]
+        for k in reversed(range(len(blocks) - 1)):
+            if blocks[k][0][-1] == "h2":
+                own[k] = own[k + 1]
+
+        def smooth(values):
+            out = []
+            for k, (_, parent, _, _) in enumerate(blocks):
+                line = [i for i, b in enumerate(blocks) if b[1] == parent]
+                near = [(math.exp(-((line.index(k) - j) ** 2) / 2), values[i]) for j, i in enumerate(line) if abs(line.index(k) - j) <= 2]
+                out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+            return out
+
+        fused = [c * (1 + p) ** 0.5 * (1 - x) ** 2 for c, p, x in zip(smooth([s[1] / s[0] for s in own]), smooth([s[2] / s[0] for s in own]), smooth([s[3] / s[1] for s in own]), strict=True)]
+        assert page.ratios() == pytest.approx(fused)
+        level = 0.5 * sum(f * len(b[2]) for f, b in zip(fused, blocks, strict=True)) / sum(len(b[2]) for b in blocks)
+        mean = {p: sum(f for f, b in zip(fused, blocks, strict=True) if b[0] == p) / sum(b[0] == p for b in blocks) for p in {b[0] for b in blocks}}
+        found = html_extract.content_paths(page, page.ratios(), [1.0] * len(blocks))
+        assert {page.path_names(p) for p in found} == {"/".join(p) for p, x in mean.items() if x >= level - 1e-9}
+
+
+def test_html_ratios_decide(monkeypatch, spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    texts = [html_extract.extract(p) for p in pages]
+    as_divs = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in pages]
+    assert [html_extract.extract(p) for p in as_divs] == texts
+    monkeypatch.setattr(html_extract.Page, "ratios", lambda self, by_name=True: [1.0] * len(self.text))
+    assert sum(html_extract.extract(p) != t for p, t in zip(pages, texts, strict=True)) > 0.9 * len(pages)
+
+
+@pytest.mark.parametrize("page", ["<span>" * 200_000 + "x", "<div>a " * 50_000, "<span>" * 50_000 + "<p>a</p>" * 50_000, "<ul><li>a" * 30_000, "<svg/>" * 100_000])
+def test_html_damaged_markup_is_linear(page):
+    began = time.perf_counter()
+    html_extract.extract(page)
+    assert time.perf_counter() - began < 5
+    if page.endswith("<span>x"):
+        tracemalloc.start()
+        html_extract.extract(page)
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+        tracemalloc.stop()
+
+
 # 4 -------------------------------------------------------------------------
 
 

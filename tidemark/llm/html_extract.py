@@ -1,24 +1,28 @@
 """HTML main text by tag-path ratios.
 
-A page is read as a stream of tags; every text node has its tag path, the
-names from the root down.  For each path, text length, punctuation and link
-text are summed over its nodes; the path's ratio is fused from length per
-node, punctuation per node and the share of text outside links.  Ratios are
-smoothed along the page (a short paragraph among long ones is content, a long
-line among menus is not), and paths whose smoothed ratio reaches a threshold
-select content nodes.  The article is the smallest element that holds the
-selected nodes; its blocks are the text.
-
-Parts that HTML marks as no article (nav, aside, footer, form, ...), or whose
-class, id or role says so (sidebar, advert, cookie, comments, ...), are left
-out before paths are summed.  A list of links inside an article or main
-element is text like any other; elsewhere it is a menu.
-
-Each page is handled alone, in one pass of linear patterns; memory is that of
-one page.  Defined results: null or empty html gives an empty text; null ids
-and urls are kept; repeated rows give repeated rows; extra columns are
-ignored; an empty table gives an empty table; damaged markup is read as far
-as it goes, as browsers do.
+A page is read as a stream of tags; every block of text has its tag path, the
+names from the root down (an element whose class, id or role tells of menus,
+adverts, comments and the like is another name than one that does not).  For
+each path, text length, punctuation and link text are summed over its blocks.
+The three ratios per block are smoothed along the blocks of one element (a
+short paragraph among long ones is content; a heading counts as what it
+heads), then fused: length, punctuation, the share outside links, and a factor
+for what the path's names say.  Paths whose mean reaches a share of the page's
+mean are content.  The article is the element in which content outweighs the
+rest most; its blocks are the text, but for paths inside it that are no
+content by their names or their links.
+
+What HTML itself marks as no article (nav, aside, footer, hidden, a page's
+header, controls, and forms that hold no article) is left out before paths are
+summed; nothing else is.
+
+Each page is handled alone; time and memory grow with its length: a path is a
+number, made of its parent's and a name, the elements open are found by name,
+and an element's text is an interval of blocks.  Defined results: null or empty
+html gives an empty text; null ids and urls are kept; repeated rows give
+repeated rows; extra columns are ignored; an empty table gives an empty table;
+of elements that tie the inner one is taken; damaged markup is read as far as
+it goes, as browsers do.
 """
 
 from __future__ import annotations
@@ -27,23 +31,22 @@ import html as entities
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read
+from tidemark.llm.common import pick, read
 
 # Element names as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas textarea select title audio video noframes".split())
+RAW = frozenset("script style noscript template iframe textarea select title audio video noframes".split())
 BLOCK = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address details summary hgroup header footer nav aside form fieldset hr center dir menu search dialog head".split()
 )
 #: A start tag of these ends an open p.
 ENDS_P = BLOCK - frozenset("html body head td th tr thead tbody tfoot caption".split())
-NO_ARTICLE = frozenset("nav aside footer form menu dialog head button fieldset search label input".split())
+NO_ARTICLE = frozenset("nav aside footer menu dialog head button fieldset search label".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the first kind is ended by a start tag of the second, up to a boundary.
 IMPLIED = {
@@ -66,6 +69,7 @@ PAGE_WORDS = frozenset("page site wrapper wrap container outer sidebar".split())
 #: Classes and ids of a page's header, outside an article.
 PAGE_HEADERS = frozenset("header site-header main-header top-header global-header siteheader".split())
 KEEPERS = frozenset({"article", "main"})
+ROLES = frozenset("banner navigation complementary contentinfo search dialog alert".split())
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)",
@@ -74,29 +78,12 @@ MARKUP = re.compile(
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|$)", re.I)
 WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…¿¡、。，！？]")
-
-
-@dataclass
-class Node:
-    name: str
-    path: str
-    out: bool
-    link: bool
-    keeper: bool
-    parent: int
-    depth: int
-
-
-@dataclass
-class TextBlock:
-    """Text of one block, with the element it lies in."""
-
-    node: int
-    parts: list[str] = field(default_factory=list)
-    link_chars: int = 0
-
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+#: What names in a path are worth, in the fused ratio: marked as no article, inside article or main.
+MARKED, KEPT = 1e-3, 8.0
+#: A path is content from this share of the page's mean on.
+THRESHOLD = 0.5
+#: Weights of a block's neighbours in its element, by distance.
+SMOOTHING = tuple(math.exp(-(d * d) / 2) for d in range(3))
 
 
 def _words(value: str) -> list[set[str]]:
@@ -109,187 +96,275 @@ def _marked_article(attributes: str) -> bool:
     return any(w & ARTICLE_WORDS and not w & (PAGE_WORDS | BOILERPLATE) for v in values for w in _words(v))
 
 
-def _left_out(name: str, attributes: str, inside_keeper: bool, marks: bool = True) -> bool:
+def _left_out(name: str, attributes: str, inside_keeper: bool) -> bool:
+    """Whether HTML itself says that the element is no article, or not shown."""
     if name in NO_ARTICLE or name == "header" and not inside_keeper:
         return True
     if not attributes or name in ("html", "body"):
         return False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or key == "aria-hidden" and value == "true":
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in ROLES:
             return True
-        if key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif key == "id" and name in HEADINGS:
-            continue  # a heading's id is made of its text
-        elif marks and name not in KEEPERS and any(w & BOILERPLATE and not w & DENIALS for w in _words(value)):
+        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        elif marks and name not in KEEPERS and not inside_keeper and key in ("class", "id") and PAGE_HEADERS & set(value.lower().split()):
+    return False
+
+
+def _marked(name: str, attributes: str, inside_keeper: bool) -> bool:
+    """Whether class, id or role tell of something other than the article."""
+    if not attributes or name in KEEPERS or name in ("html", "body"):
+        return False
+    for m in ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key not in ("class", "id", "role") or key == "id" and name in HEADINGS:
+            continue  # a heading's id is made of its text
+        if any(w & BOILERPLATE and not w & DENIALS for w in _words(value)):
             return True
-        elif key == "role" and value.lower() in ("banner", "navigation", "complementary", "contentinfo", "search", "dialog", "alert"):
+        if not inside_keeper and key != "role" and PAGE_HEADERS & set(value.lower().split()):
             return True
     return False
 
 
-def text_blocks(page: str, marks: bool = True) -> tuple[list[Node], list[TextBlock]]:
-    """The page's elements and its blocks of text outside what is left out, in order.
+class Page:
+    """A page's elements, numbered as they start, and its blocks of text outside what is left out.
 
-    Without ``marks``, classes and ids leave nothing out.
+    Elements are parallel lists: ``parent``, ``name``, ``path``, ``marks`` (how
+    many marked elements it lies in, itself included) and ``kept`` (inside
+    article or main, or what is named like one).  Blocks are too: ``node``,
+    ``text`` and ``links`` (how many of its characters are link text).
     """
-    nodes = [Node("", "", False, False, False, -1, 0)]
-    stack = [0]
-    blocks: list[TextBlock] = []
-    open_: TextBlock | None = None
-    at, n = 0, len(page)
-
-    def add(raw: str) -> None:
-        nonlocal open_
-        top = nodes[stack[-1]]
-        if top.out or not raw:
-            return
-        text = entities.unescape(raw) if "&" in raw else raw
-        if open_ is None:
-            if not text.strip():
+
+    def __init__(self, page: str) -> None:
+        self.parent, self.name, self.path, self.marks, self.kept = [-1], [""], [0], [0], [False]
+        self.node: list[int] = []
+        self.text: list[str] = []
+        self.links: list[int] = []
+        self.paths: dict[tuple[int, str, bool], int] = {}
+        self._parse(page)
+
+    def _parse(self, page: str) -> None:
+        stack = [0]
+        places: dict[str, list[int]] = {}  # of each open element's name, in the stack
+        block_places = [0]
+        flags = [(False, False)]  # for each open element: left out, link
+        forms: dict[int, bool] = {}  # outermost forms: whether they hold an article
+        form_of = [-1]  # for each open element its outermost form
+        parts: list[str] = []
+        block_form: list[int] = []
+        open_node, link_chars, open_form = -1, 0, -1
+
+        def flush() -> None:
+            nonlocal open_node, link_chars, parts
+            if open_node >= 0:
+                text = " ".join("".join(parts).split())
+                if text:
+                    self.node.append(open_node)
+                    self.text.append(text)
+                    self.links.append(min(link_chars, len(text)))
+                    block_form.append(open_form)
+                open_node, link_chars, parts = -1, 0, []
+
+        def add(raw: str) -> None:
+            nonlocal open_node, link_chars, open_form
+            out, link = flags[-1]
+            if out or not raw:
                 return
-            open_ = TextBlock(next(k for k in reversed(stack) if nodes[k].name in BLOCK or k == 0))
-            blocks.append(open_)
-        open_.parts.append(text)
-        if top.link:
-            open_.link_chars += len(text.strip())
-
-    def close(k: int) -> None:
-        nonlocal open_
-        if any(nodes[x].name in BLOCK for x in stack[k:]):
-            open_ = None
-        del stack[k:]
-
-    while at < n:
-        m = MARKUP.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>"))
-            continue
-        name = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].name == name:
-                    close(k)
-                    break
-                if name not in BLOCK and nodes[stack[k]].name in BLOCK:
-                    break  # an inline end tag does not reach out of its block
-            else:
-                if name in BLOCK:
-                    open_ = None
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            if not m[0].endswith("/>"):
-                at = end.end() if end else n
-            continue
-        if name in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].name == "p":
+            text = entities.unescape(raw) if "&" in raw else raw
+            if open_node < 0:
+                if not text.strip():
+                    return
+                open_node, open_form = stack[block_places[-1]], form_of[-1]
+            parts.append(text)
+            if link:
+                link_chars += len(text.strip())
+
+        def close(k: int) -> None:
+            if block_places[-1] >= k:
+                flush()
+            for node in stack[k:]:
+                places[self.name[node]].pop()
+            while block_places[-1] >= k:
+                block_places.pop()
+            del stack[k:], flags[k:], form_of[k:]
+
+        last = lambda names: max((places[x][-1] for x in names if places.get(x)), default=-1)
+        at, n = 0, len(page)
+        while at < n:
+            m = MARKUP.search(page, at)
+            if m is None:
+                add(page[at:])
+                break
+            add(page[at : m.start()])
+            at = m.end()
+            if m[2] is None:
+                if m[0].startswith("<![CDATA["):
+                    add(m[0][9:].removesuffix("]]>"))
+                continue
+            name = m[2].lower()
+            if m[1]:
+                k = last((name,))
+                # an inline end tag does not reach out of its block
+                if k > 0 and (name in BLOCK or k > block_places[-1]):
                     close(k)
-                    break
-                if nodes[stack[k]].name in BLOCK:
-                    break
-        if name in IMPLIED:
-            ended, boundary = IMPLIED[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].name in boundary:
-                    break
-                if nodes[stack[k]].name in ended:
+                elif name in BLOCK:
+                    flush()
+                continue
+            if name in RAW:
+                if not m[0].endswith("/>"):
+                    end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+                    at = end.end() if end else n
+                continue
+            if name in ENDS_P and (k := last(("p",))) > 0 and k == block_places[-1]:
+                close(k)
+            if name in IMPLIED:
+                ended, boundary = IMPLIED[name]
+                while (k := last(ended)) > last(boundary):
                     close(k)
                     if name != "tr":
                         break
-        if name in BLOCK:
-            open_ = None
-        if name in VOID:
-            if name == "br":
-                add(" ") if open_ is not None else None
-            continue
-        top = nodes[stack[-1]]
-        inside = top.keeper
-        nodes.append(Node(name, f"{top.path}/{name}", top.out or _left_out(name, m[3], inside, marks), top.link or name == "a", inside or name in KEEPERS or _marked_article(m[3]), stack[-1], top.depth + 1))
-        if not (m[3].endswith("/") and name not in BLOCK):
-            stack.append(len(nodes) - 1)
-    return nodes, [b for b in blocks if b.text()]
-
-
-def path_ratios(nodes: list[Node], blocks: list[TextBlock], texts: list[str]) -> list[float]:
-    """Each block's fused path ratio, smoothed along the page."""
-    sums: dict[str, list[float]] = {}
-    for b, t in zip(blocks, texts, strict=True):
-        s = sums.setdefault(nodes[b.node].path, [0, 0, 0, 0])
-        for k, x in enumerate((1, len(t), len(PUNCTUATION.findall(t)), min(len(t), b.link_chars))):
-            s[k] += x
-    ratio = {p: (chars / n) * math.sqrt(1 + punct / n) * (1 - links / chars) ** 2 for p, (n, chars, punct, links) in sums.items()}
-    own = [ratio[nodes[b.node].path] for b in blocks]
-    weights = [math.exp(-(d * d) / 2) for d in range(-2, 3)]
-    out = []
-    for k in range(len(own)):
-        near = [(w, own[k + d]) for d, w in zip(range(-2, 3), weights, strict=True) if 0 <= k + d < len(own)]
-        out.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
-    return out
-
-
-def extract(page: str | None, threshold: float = 0.5) -> str:
-    """The main text of one page."""
-    if not page:
-        return ""
-    nodes, blocks = text_blocks(page)
-    if not blocks:
-        # the whole article may lie in an element with a misleading class; its title tells it from an advert
-        nodes, blocks = text_blocks(page, marks=False)
-        if not any(nodes[b.node].name == "h1" for b in blocks):
-            return ""
-    texts = [b.text() for b in blocks]
-    smooth = path_ratios(nodes, blocks, texts)
-    # a path is content if its nodes' mean ratio reaches a share of the text's mean ratio
-    total = sum(map(len, texts))
-    level = threshold * sum(s * len(t) for s, t in zip(smooth, texts, strict=True)) / total
-    by_path: dict[str, list[float]] = {}
-    for b, s in zip(blocks, smooth, strict=True):
-        by_path.setdefault(nodes[b.node].path, []).append(s)
-    content = {p for p, s in by_path.items() if sum(s) / len(s) >= level}
-    selected = [k for k, b in enumerate(blocks) if nodes[b.node].path in content] or list(range(len(blocks)))
-
-    def line(k: int) -> list[int]:
+            if name in BLOCK:
+                flush()
+            if name in VOID:
+                if name == "br" and open_node >= 0:
+                    add(" ")
+                continue
+            top, (out, link) = stack[-1], flags[-1]
+            inside = self.kept[top]
+            marked = _marked(name, m[3], inside)
+            number = len(self.parent)
+            out = out or _left_out(name, m[3], inside)
+            form = form_of[-1]
+            if form < 0 and name == "form":
+                form = number
+                forms[form] = False
+            if form >= 0 and not out and (name in KEEPERS or name == "h1"):
+                forms[form] = True
+            self.parent.append(top)
+            self.name.append(name)
+            self.path.append(self.paths.setdefault((self.path[top], name, marked), len(self.paths) + 1))
+            self.marks.append(self.marks[top] + marked)
+            self.kept.append(inside or name in KEEPERS or _marked_article(m[3]))
+            if not (m[3].endswith("/") and name not in BLOCK):
+                places.setdefault(name, []).append(len(stack))
+                if name in BLOCK:
+                    block_places.append(len(stack))
+                stack.append(number)
+                flags.append((out, link or name == "a"))
+                form_of.append(form)
+        flush()
+        if forms:
+            stay = [k for k, f in enumerate(block_form) if f < 0 or forms[f]]
+            for values in (self.node, self.text, self.links):
+                values[:] = [values[k] for k in stay]
+
+    def path_names(self, path: int) -> str:
+        """The names of a path, for people."""
+        by_number = {v: k for k, v in self.paths.items()}
         out = []
-        while k >= 0:
-            out.append(k)
-            k = nodes[k].parent
+        while path:
+            path, name, marked = by_number[path]
+            out.append(name + "!" * marked)
+        return "/".join(reversed(out))
+
+    def path_sums(self) -> dict[int, tuple[int, int, int, int]]:
+        """For each path: blocks, characters, punctuation, characters in links."""
+        sums: dict[int, list[int]] = {}
+        for node, text, links in zip(self.node, self.text, self.links, strict=True):
+            s = sums.setdefault(self.path[node], [0, 0, 0, 0])
+            for k, x in enumerate((1, len(text), len(PUNCTUATION.findall(text)), links)):
+                s[k] += x
+        return {p: tuple(s) for p, s in sums.items()}
+
+    def smoothed(self, series: list[float]) -> list[float]:
+        """Each block's mean with its neighbours among the blocks of one element."""
+        by_parent: dict[int, list[int]] = {}
+        for k, node in enumerate(self.node):
+            by_parent.setdefault(self.parent[node], []).append(k)
+        out = [0.0] * len(series)
+        for ks in by_parent.values():
+            for i, k in enumerate(ks):
+                near = [(SMOOTHING[abs(j - i)], series[ks[j]]) for j in range(max(0, i - 2), min(len(ks), i + 3))]
+                out[k] = sum(w * x for w, x in near) / sum(w for w, _ in near)
+        return out
+
+    def ratios(self, by_name: bool = True) -> list[float]:
+        """Each block's fused ratio."""
+        sums = self.path_sums()
+        own = [sums[self.path[node]] for node in self.node]
+        # a heading counts as the next block that is none
+        for k in range(len(own) - 2, -1, -1):
+            if self.name[self.node[k]] in HEADINGS and self.marks[self.node[k]] == self.marks[self.node[k + 1]]:
+                own[k] = own[k + 1]
+        length = self.smoothed([chars / n for n, chars, _, _ in own])
+        punctuation = self.smoothed([p / n for n, _, p, _ in own])
+        links = self.smoothed([x / chars for _, chars, _, x in own])
+        out = [c * math.sqrt(1 + p) * (1 - x) ** 2 for c, p, x in zip(length, punctuation, links, strict=True)]
+        if by_name:
+            out = [r * (MARKED if self.marks[k] else 1.0) * (KEPT if self.kept[k] else 1.0) for r, k in zip(out, self.node, strict=True)]
         return out
 
-    # the smallest element with nearly all of the selected text; an article or main with most of it goes first
-    held: dict[int, int] = {}
-    for k in selected:
-        for x in line(blocks[k].node):
-            held[x] = held.get(x, 0) + len(texts[k])
-    whole = held[0]
-    keepers = [x for x in held if nodes[x].name in KEEPERS and held[x] > whole / 2]
-    root = max(keepers, key=lambda x: (held[x], nodes[x].depth)) if keepers else max((x for x in held if held[x] >= 0.9 * whole), key=lambda x: nodes[x].depth)
-    if not keepers and nodes[root].name in ("p", "li", "td", "blockquote", "pre", *HEADINGS):
-        root = nodes[root].parent  # a single long block: its neighbours belong to it
-    inside = [k for k, b in enumerate(blocks) if root in line(b.node)]
-    kept = []
-    for k in inside:
-        b, t = blocks[k], texts[k]
-        name = nodes[b.node].name
-        menu = not keepers and b.link_chars >= 0.8 * len(t) and name in ("li", "div", "section", "td", "dd", "ul") and nodes[b.node].path not in content
-        loose = not keepers and name in ("div", "section", "body", "html", "") and nodes[b.node].path not in content and smooth[k] < level
-        if not (menu or loose):
-            kept.append(t)
-    return "\n".join(kept)
-
-
-def extract_pages(pages: DataFrame, threshold: float = 0.5) -> DataFrame:
+
+def content_paths(page: Page, ratios: list[float], weights: list[float], threshold: float = THRESHOLD) -> set[int]:
+    """Paths whose blocks' mean ratio reaches a share of the page's mean, by characters and ``weights``."""
+    shares = [len(t) * w for t, w in zip(page.text, weights, strict=True)]
+    level = threshold * sum(r * x for r, x in zip(ratios, shares, strict=True)) / sum(shares)
+    by_path: dict[int, list[float]] = {}
+    for node, r in zip(page.node, ratios, strict=True):
+        by_path.setdefault(page.path[node], []).append(r)
+    return {p for p, rs in by_path.items() if sum(rs) / len(rs) >= level}
+
+
+def extract(html: str | None, threshold: float = THRESHOLD) -> str:
+    """The main text of one page."""
+    if not html:
+        return ""
+    page = Page(html)
+    if not page.text:
+        return ""
+    name = lambda k: page.name[page.node[k]]
+    blocks = range(len(page.text))
+    chars = [len(t) for t in page.text]
+    # a whole article may lie in an element with a misleading name; its title tells it from an advert
+    plain = [k for k in blocks if not page.marks[page.node[k]]]
+    titled = any(name(k) == "h1" for k in blocks)
+    if not plain and not titled:
+        return ""
+    by_name = bool(plain) and (any(name(k) == "h1" for k in plain) or not titled or 5 * sum(chars[k] for k in plain) >= sum(chars))
+    ratios = page.ratios(by_name)
+    weights = [MARKED if by_name and page.marks[node] else 1.0 for node in page.node]
+    content = content_paths(page, ratios, weights, threshold)
+    chosen = [page.path[node] in content for node in page.node]
+
+    # what content outweighs the rest by, summed over each element; elements are numbered from the outside in
+    gain = [0.0] * len(page.parent)
+    for k in blocks:
+        gain[page.node[k]] += chars[k] if chosen[k] else -chars[k]
+    end = list(range(1, len(page.parent) + 1))
+    for node in range(len(page.parent) - 1, 0, -1):
+        gain[page.parent[node]] += gain[node]
+        end[page.parent[node]] = max(end[page.parent[node]], end[node])
+    root = max(range(len(gain)), key=lambda node: (gain[node], node))
+    while page.name[root] not in ("div", "section", "article", "main", "body", "html", "") and page.parent[root] > 0 and page.name[root] in BLOCK and page.name[page.parent[root]] not in ("body", "html"):
+        root = page.parent[root]  # a single long block, row or list: its neighbours belong to it
+    if page.name[root] in ("p", "li", "td", "blockquote", "pre", *HEADINGS):
+        root = max(0, page.parent[root])
+
+    def stays(k: int) -> bool:
+        node = page.node[k]
+        if chosen[k]:
+            return True
+        if by_name and page.marks[node] > page.marks[root]:
+            return False
+        if page.kept[node]:
+            return True
+        menu = page.links[k] >= 0.8 * chars[k] and name(k) in ("li", "div", "section", "td", "dd", "ul")
+        return not menu and name(k) not in ("div", "section", "body", "html", "")
+
+    return "\n".join(page.text[k] for k in blocks if root <= page.node[k] < end[root] and stays(k))
+
+
+def extract_pages(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, url, text) for each row of (page_id, url, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +372,7 @@ def extract_pages(pages: DataFrame, threshold: float = 0.5) -> DataFrame:
             texts = pa.array([extract(x.as_py(), threshold) for x in b.column(2)], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts], names=["page_id", "url", "text"])
 
-    src = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    src = pick(pages, page_id="page_id", url="url", html="html").select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return src.mapInArrow(run, "page_id long, url string, text string")
 
 
