@@ -9,6 +9,7 @@ from tidemark.functions import keys, patterns
 from tidemark.functions.durations import parse_duration
 
 PARTS = ["period", "customer"]
+# Patterns that must be taken or turned away, and what they must match.
 GOOD = ["", "*", "*/*", "period=a/customer=b", "period=a*/customer=*", "period=/customer=b", "period=a..b/*", "period=a../*", "*/customer=..b", "period=a..a/*", "period=a=b/*", "period=日本/*"]
 BAD = ["period=a", "*/*/*", "customer=a/period=b", "period=a*b/*", "period=**/*", "period=a?/*", "period=[a]/*", "period={a}/*", "period=../*", "period=a..b..c/*", "period=a*..b/*", "period=b..a/*", "period=a.../*", "x/*", "period/*"]
 

@@ -6,6 +6,7 @@ import os
 import re
 import time
 import uuid
+from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import Column
@@ -46,6 +47,44 @@ def path_unescape(text: Column) -> Column:
     return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
+# What Spark writes as % and two hex digits in the names of partition folders.
+FOLDER_SPECIALS = "%" + "".join(map(chr, range(1, 32))) + "\x7f\"#'*/:=?\\{[]^"
+
+
+def folder_escape(text: Column) -> Column:
+    for c in FOLDER_SPECIALS:
+        text = F.replace(text, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return text
+
+
+def escape_folder(text: str) -> str:
+    return "".join(f"%{ord(c):02X}" if c in FOLDER_SPECIALS else c for c in text)
+
+
+def unescape_folder(text: str) -> str:
+    return re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), text)
+
+
+def data_folder(base: str, partition: str, token: str, attempt: str) -> str:
+    """Where the rows of a write to one partition lie: Spark's folders for its path columns."""
+    pairs = [s.partition("=") for s in partition.split("/")]
+    return "/".join([base, *(f"{escape_folder('__pk_' + p)}={escape_folder(v)}" for p, _, v in pairs), f"__commit={escape_folder(f'{token}-{attempt}')}"])
+
+
+def data_folder_of(base: str, partition: Column, token: Column, attempt: Column) -> Column:
+    def folder(s: Column) -> Column:
+        at = F.instr(s, "=")
+        return F.concat(folder_escape(F.concat(F.lit("__pk_"), F.substr(s, F.lit(1), at - 1))), F.lit("="), folder_escape(F.substr(s, at + 1)))
+
+    folders = F.array_join(F.transform(F.split(partition, "/"), folder), "/")
+    return F.concat(F.lit(base + "/"), folders, F.lit("/__commit="), folder_escape(commit_name(token, attempt)))
+
+
+def key_values(partition: Column, parts: Sequence[str]) -> dict[str, Column]:
+    """The values of a partition key, by part."""
+    return {p: F.substr(F.get(F.split(partition, "/"), F.lit(i)), F.lit(len(p) + 2)) for i, p in enumerate(parts)}
+
+
 def stamp(us: Column) -> Column:
     return F.lpad(us.cast("string"), 16, "0")
 

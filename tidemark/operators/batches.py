@@ -14,13 +14,14 @@ def partition_counts(df: DataFrame, key: Column) -> DataFrame:
 
 
 def group_by_partition(df: DataFrame, key: Column, order: Sequence[str] = ()) -> DataFrame:
-    """(key, rows): each partition's rows as one array, in ``order``.
+    """(key, rows): each partition's rows as one array, in ``order``, or as they come in ``df``.
 
     A partition is one row of the result, as asked for; for partitions beyond
     a task's memory use ``per_partition`` or ``partitions``, which stream.
     """
-    row = F.struct(*[F.col(c) for c in order], F.struct(*df.columns).alias("__row"))
-    grouped = df.groupBy(key.alias("key")).agg(F.sort_array(F.collect_list(row)).alias("rows") if order else F.collect_list(row).alias("rows"))
+    own = F.struct(*[F.col(c) for c in order], *([] if order else [F.col("__at")]), F.struct(*df.columns).alias("__row"))
+    placed = df if order else df.withColumn("__at", F.monotonically_increasing_id())
+    grouped = placed.groupBy(key.alias("key")).agg(F.sort_array(F.collect_list(own)).alias("rows"))
     return grouped.select("key", F.transform("rows", lambda x: x["__row"]).alias("rows"))
 
 

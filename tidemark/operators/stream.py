@@ -110,14 +110,18 @@ def poll(refs: DataFrame, commits: DataFrame, since: str = "", max_entries: int
     first = seen.where("passes").select("ref_key").orderBy("ref_key").limit(max_entries)
     n, last = first.agg(F.count(F.lit(1)), F.max("ref_key")).first()
     if n < max_entries:
-        end = seen.agg(F.max("ref_key")).first()[0]
-        return Page(entries(seen.where("passes")).orderBy("offset"), end or since)
-    return Page(entries(seen.where(F.col("passes") & (F.col("ref_key") <= last))).orderBy("offset"), last)
+        # refs alone tell how far the page went
+        last = visible(refs, since, until, cutoff_us).agg(F.max("ref_key")).first()[0]
+        if last is None:
+            return Page(entries(seen.where("passes")).orderBy("offset"), since)
+    # the page's own plan reads refs up to its end only
+    page = passing(visible(refs, since, "", cutoff_us).where(F.col("ref_key") <= last), commits).where("passes")
+    return Page(entries(page).orderBy("offset"), last)
 
 
 def poll_range(refs: DataFrame, commits: DataFrame, since: str = "", until: str = "", cutoff_us: int | None = None) -> DataFrame:
-    """All passing entries of a window, with no pages."""
-    return entries(passing(visible(refs, since, until, cutoff_us), commits).where("passes"))
+    """All passing entries of a window, in order, with no pages."""
+    return entries(passing(visible(refs, since, until, cutoff_us), commits).where("passes")).orderBy("offset")
 
 
 def running_page(refs: DataFrame, commits: DataFrame, max_entries: int) -> DataFrame:
@@ -134,7 +138,8 @@ def records_of(found: DataFrame, data: DataFrame, partition: str = "partition",
 
 
 def partition_keys(found: DataFrame) -> DataFrame:
-    return found.select("key").distinct()
+    """Distinct, ascending."""
+    return found.select("key").distinct().orderBy("key")
 
 
 def common_partitions(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -69,6 +70,12 @@ def distinct_tuples(df: DataFrame, view: View) -> DataFrame:
     return checked.withColumn(first, F.when(long, F.raise_error(F.lit(f"view {view.name}: a tuple is longer than {MAX_PATH} bytes")).cast("string")).otherwise(F.col(first)))
 
 
+def parse_path(path: Column, columns: Sequence[str]) -> Column:
+    """The tuple of a path made by ``View.path``, or null where it is malformed."""
+    text = "^" + "/".join(f"{re.escape(c)}=([^/]+)" for c in columns) + "$"
+    return F.when(path.rlike(text), F.struct(*[F.regexp_extract(path, text, i + 1).alias(c) for i, c in enumerate(columns)]))
+
+
 def lookup(tuples: DataFrame, columns: Sequence[str], found: Sequence[str], bind: Callable[[DataFrame], DataFrame] | None = None, layouts: dict[str, str] | None = None) -> DataFrame:
     """Tuples that meet the patterns.  They are made distinct before ``bind``, which may repeat what it maps together."""
     df = tuples.where(patterns.predicate(found, {c: F.col(c) for c in columns})).select(*columns).distinct()

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import SparkSession
 
+#: Calls that one driver has under way.
+AT_ONCE = 32
+
 
 class Files:
     def __init__(self, spark: SparkSession) -> None:
@@ -27,6 +32,28 @@ class Files:
         finally:
             stream.close()
 
+    def list(self, path: str, suffix: str = "") -> list[str]:
+        """The files right inside a folder."""
+        fs, p = self._at(path)
+        if not fs.exists(p):
+            return []
+        found = (s.getPath() for s in fs.listStatus(p) if s.isFile())
+        return sorted(f.toString() for f in found if f.getName().endswith(suffix) and f.getName()[0] not in "._")
+
+    def read_all(self, path: str) -> list[str]:
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            return [t for t in pool.map(self.read, self.list(path)) if t]
+
+    def there(self, paths: list[str]) -> list[str]:
+        """Those of ``paths`` that exist."""
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            return [p for p, ok in zip(paths, pool.map(self.exists, paths), strict=True) if ok]
+
+    def delete(self, paths: list[str]) -> None:
+        for path in paths:
+            fs, p = self._at(path)
+            fs.delete(p, False)
+
     def write(self, path: str, text: str) -> None:
         self._put(path, text, True)
 

@@ -12,10 +12,10 @@ import json
 from dataclasses import asdict, dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import from_micros
+from tidemark.functions.keys import data_folder, from_micros, micros
 from tidemark.operators.stream import decode_refs, first_commits
 from tidemark.sources.config import StoreConfig
 from tidemark.sources.files import Files
@@ -57,12 +57,13 @@ class Logs:
         if rows:
             self.spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(self.config.path("log", name))
 
-    def commits(self) -> DataFrame:
-        return first_commits(self._table("commits", COMMITS))
+    def commits(self, where: Column | None = None) -> DataFrame:
+        found = self._table("commits", COMMITS)
+        return first_commits(found if where is None else found.where(where))
 
     def refs(self) -> DataFrame:
         """All ref names, with their fields; malformed ones have null fields."""
-        return decode_refs(self._table("refs", REF_NAMES))
+        return decode_refs(self._table("refs", REF_NAMES).distinct())
 
     def malformed_refs(self) -> int:
         return self.refs().where(F.col("token").isNull()).count()
@@ -85,6 +86,38 @@ class Logs:
         logged = {(r.partition, r.token) for r in self.commits().where(F.col("token").isin(tokens)).select("partition", "token").collect()}
         self.add_commits([c for c in commits if (c.partition, c.token) not in logged])
 
+    def repair_all(self, newer_than: datetime | None = None) -> list[Commit]:
+        """Log rows of all locks whose writer died before it wrote them; locks stamped before ``newer_than`` are passed over.
+
+        What is locked is committed; until this or a retry of the write it is
+        not seen.  Reads no data, and the commit log once.
+        """
+        least = micros(newer_than) if newer_than else 0
+        texts = self.files.read_all(self.config.path("log", "locks"))
+        found = [c for c in (Commit(**json.loads(t)) for t in texts) if c.ref_micro_ts >= least]
+        if not found:
+            return []
+        rows = self.spark.createDataFrame([(c.partition, c.token) for c in found], "partition string, token string")
+        missing = {tuple(r) for r in rows.join(self.commits(), ["partition", "token"], "left_anti").collect()}
+        lost = sorted((c for c in found if (c.partition, c.token) in missing), key=lambda c: c.ref_micro_ts)
+        self.add_commits(lost)
+        return lost
+
+    def compact(self) -> None:
+        """Each log's many small files become few, in order of time, so that stamps prune them.
+
+        Rows that stand twice while files are changed over are read once:
+        commits are distinct by write, refs by name.
+        """
+        for name, ddl, order in (("commits", COMMITS, "ref_micro_ts"), ("refs", REF_NAMES, "ref_key")):
+            path = self.config.path("log", name)
+            old = self.files.list(path, ".parquet")
+            if len(old) < 2:
+                continue
+            merged = self.spark.read.schema(ddl).parquet(*old).distinct().sort(order)
+            merged.write.mode("append").parquet(path)
+            self.files.delete(old)
+
     def lock(self, commit: Commit) -> bool:
         return self.files.create(self.lock_path(commit.partition, commit.token), json.dumps(asdict(commit)))
 
@@ -92,7 +125,7 @@ class Logs:
         self._append("commits", COMMITS, [tuple(asdict(c).values()) for c in commits])
 
     def data_path(self, partition: str, token: str, attempt: str) -> str:
-        return self.config.path("data", *(f"__pk_{s}" for s in partition.split("/")), f"__commit={token}-{attempt}")
+        return data_folder(self.config.path("data"), partition, token, attempt)
 
     def result(self, c: Commit, ref_key: str) -> WriteResult:
         return WriteResult(ref_key, self.data_path(c.partition, c.token, c.attempt_id), self.config.path("log", "refs", ref_key), from_micros(c.inserted_at_us), c.row_count)

@@ -7,9 +7,31 @@ Spark's own metrics.
 from __future__ import annotations
 
 import functools
+import threading
 import time
+import warnings
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+
+def watched(rows: Iterator, counters: Counter, seconds: float) -> Iterator:
+    """``rows`` as they come; each wait of more than ``seconds`` for one counts in ``stalls`` and warns."""
+
+    def stalled() -> None:
+        counters["stalls"] += 1
+        warnings.warn(f"no row for {seconds} s", RuntimeWarning, stacklevel=2)
+
+    while True:
+        timer = threading.Timer(seconds, stalled)
+        timer.daemon = True
+        timer.start()
+        try:
+            row = next(rows)
+        except StopIteration:
+            return
+        finally:
+            timer.cancel()
+        yield row
 
 
 def measured(method: Callable) -> Callable:

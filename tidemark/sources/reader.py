@@ -16,9 +16,12 @@ from tidemark.operators.dedup import dedup, ordered
 from tidemark.operators.projection import zero_fill
 from tidemark.sources.config import StoreConfig, Timing, load_timing
 from tidemark.sources.log import Logs
-from tidemark.sources.observe import measured
+from tidemark.sources.views import add_tuples, tuples_of
+from tidemark.sources.observe import measured, watched
 
 KEY, TIE = "__hive_key", ("__commit", "__file", "__row")
+#: Beyond so many partitions a read lists the whole tree, in parallel, instead of each folder.
+MOST_FOLDERS = 10_000
 
 
 class ForeignEntry(ValueError):
@@ -44,19 +47,40 @@ class Reader:
     def _parts(self) -> dict[str, Column]:
         return {p: F.col(f"__pk_{p}") for p in self.config.parts}
 
-    def _scan(self, tolerant: bool) -> DataFrame:
-        """All written rows, committed or not, with path columns and each row's place."""
+    def _folders(self, partitions: DataFrame | None) -> list[str]:
+        """The folders to list: those of ``partitions`` (a column of keys), or the whole tree if they are none or very many.
+
+        Partitions are counted in folders, as any listing does; no data is read.
+        """
+        base = self.config.path("data")
+        whole = [base] if self.logs.files.exists(base) else []
+        if partitions is None or not whole:
+            return whole
+        found = partitions.distinct().limit(MOST_FOLDERS + 1).collect()
+        if len(found) > MOST_FOLDERS:
+            return whole
+        folders = [keys.data_folder(base, r[0], "", "").rpartition("/")[0] for r in found]
+        self.counters["folders"] += len(folders)
+        return self.logs.files.there(folders)
+
+    def _scan(self, tolerant: bool, partitions: DataFrame | None = None) -> DataFrame:
+        """All written rows of ``partitions``, committed or not, with path columns, each row's place and its file's time."""
         c = self.config
-        path = c.path("data")
         fields = [T.StructField(f"__pk_{p}", T.StringType()) for p in c.parts] + [T.StructField("__commit", T.StringType())]
         schema = T.StructType([*c.schema.fields, *fields])
-        if not self.logs.files.exists(path):
-            df = self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("__file", T.StringType()), T.StructField("__row", T.LongType())]))
+        folders = self._folders(partitions)
+        if not folders:
+            df = self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("__file", T.StringType()), T.StructField("__row", T.LongType()), T.StructField("__changed", T.TimestampType())]))
         else:
-            read = self.spark.read.schema(schema).option("ignoreMissingFiles", str(tolerant).lower())
-            df = read.parquet(path).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+            read = self.spark.read.schema(schema).option("ignoreMissingFiles", str(tolerant).lower()).option("basePath", c.path("data"))
+            df = read.parquet(*folders).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"), F.col("_metadata.file_modification_time").alias("__changed"))
         return df.withColumn(KEY, keys.hive_key(self._parts()))
 
+    def _commits(self, found: Sequence[str]) -> DataFrame:
+        """The commits of partitions that any pattern meets; the log is cut down before it is made distinct."""
+        of = keys.key_values(F.col("partition"), list(self.config.parts))
+        return self.logs.commits(patterns.predicate(found, of))
+
     def _commit_names(self, commits: DataFrame) -> DataFrame:
         return commits.select(F.col("partition").alias(KEY), keys.commit_name(F.col("token"), F.col("attempt_id")).alias("__commit"))
 
@@ -69,9 +93,11 @@ class Reader:
             df = ordered(df, KEY, list(c.entity), c.version, TIE)
         return df.select(*([F.col(KEY).alias("hive_key")] if keep_key else []), *c.schema.names)
 
-    def _snapshot(self, found: Sequence[str]) -> DataFrame:
-        scan = self._scan(tolerant=False).where(patterns.predicate(found, self._parts()))
-        return scan.join(self._commit_names(self.logs.commits()), [KEY, "__commit"], "left_semi")
+    def _snapshot(self, found: Sequence[str], tolerant: bool = False) -> DataFrame:
+        commits = self._commits(found)
+        every = all(s.kind == "any" for p in patterns.parse_all(found, list(self.config.parts)) for s in p) and len(found) > 0
+        scan = self._scan(tolerant, None if every else commits.select("partition")).where(patterns.predicate(found, self._parts()))
+        return scan.join(self._commit_names(commits), [KEY, "__commit"], "left_semi")
 
     @measured
     def read(self, found: Sequence[str], history: bool = False, ordered: bool = False) -> DataFrame:
@@ -79,8 +105,10 @@ class Reader:
         return self._finish(self._snapshot(found), history, ordered)
 
     @measured
-    def read_iter(self, found: Sequence[str], history: bool = False, read_ahead: bool = True) -> Iterator[Row]:
-        return self.read(found, history, ordered=True).toLocalIterator(prefetchPartitions=read_ahead)
+    def read_iter(self, found: Sequence[str], history: bool = False, read_ahead: bool = True, stall_after: float | None = None) -> Iterator[Row]:
+        """Rows in order; ``stall_after`` seconds without one count as a stall and warn."""
+        rows = self.read(found, history, ordered=True).toLocalIterator(prefetchPartitions=read_ahead)
+        return watched(rows, self.counters, stall_after) if stall_after else rows
 
     def _grouped(self, df: DataFrame, history: bool) -> Iterator[tuple[str, list[Row]]]:
         for key, rows in batches.partitions(self._finish(df, history, True, keep_key=True)):
@@ -109,24 +137,18 @@ class Reader:
     def _refs(self) -> DataFrame:
         return self.logs.refs()
 
-    def _path(self) -> Column:
-        segments = F.transform(F.split("partition", "/"), lambda s: F.concat(F.lit("__pk_"), s))
-        name = keys.commit_name(F.col("token"), F.col("attempt_id"))
-        return F.concat(F.lit(self.config.path("data") + "/"), F.array_join(segments, "/"), F.lit("/__commit="), name)
+    def _path(self, partition: str = "partition") -> Column:
+        return keys.data_folder_of(self.config.path("data"), F.col(partition), F.col("token"), F.col("attempt_id"))
 
     def _entries(self, since: str, until: str, cutoff: int) -> DataFrame:
-        passed = stream.passing(stream.visible(self._refs(), since, until, cutoff), self.logs.commits()).where("passes")
-        return stream.entries(passed, self._path())
+        found = stream.poll_range(self._refs(), self.logs.commits(), since, until, cutoff)
+        return found.withColumn("data_path", self._path("key"))
 
     @measured
     def poll(self, since: str = "", max_entries: int = 1000, until: str = "") -> stream.Page:
         """A page of entries after ``since`` and the offset to go on from."""
         page = stream.poll(self._refs(), self.logs.commits(), since, max_entries, until, self.cutoff_us())
-        return stream.Page(page.entries.withColumn("data_path", self._entry_path()), page.next_offset)
-
-    def _entry_path(self) -> Column:
-        segments = F.transform(F.split("key", "/"), lambda s: F.concat(F.lit("__pk_"), s))
-        return F.concat(F.lit(self.config.path("data") + "/"), F.array_join(segments, "/"), F.lit("/__commit="), keys.commit_name(F.col("token"), F.col("attempt_id")))
+        return stream.Page(page.entries.withColumn("data_path", self._path("key")), page.next_offset)
 
     @measured
     def poll_records(self, since: str = "", max_entries: int = 1000, until: str = "") -> tuple[DataFrame, str]:
@@ -146,7 +168,7 @@ class Reader:
 
     def _records(self, found: DataFrame) -> DataFrame:
         names = found.select(F.col("key").alias(KEY), keys.commit_name(F.col("token"), F.col("attempt_id")).alias("__commit"))
-        return self._scan(tolerant=True).join(names, [KEY, "__commit"])
+        return self._scan(True, found.select("key")).join(names, [KEY, "__commit"])
 
     @measured
     def read_range(self, since: datetime | None = None, until: datetime | None = None, history: bool = False, ordered: bool = False) -> DataFrame:
@@ -187,27 +209,21 @@ class ViewReader:
         self.spark, self.config, self.view, self.bind = spark, config, view, bind
 
     def lookup(self, found: Sequence[str]) -> DataFrame:
-        path = self.config.path("views", self.view.name)
-        ddl = T.StructType([T.StructField(c, T.StringType()) for c in self.view.columns])
-        there = Logs(self.spark, self.config).files.exists(path)
-        tuples = self.spark.read.schema(ddl).parquet(path) if there else self.spark.createDataFrame([], ddl)
+        tuples = tuples_of(self.spark, self.config, self.view)
         return views.lookup(tuples, self.view.columns, found, self.bind, self.view.layouts)
 
 
 def backfill(spark: SparkSession, config: StoreConfig, view: views.View, found: Sequence[str], until: datetime | None = None, timing: Timing | None = None) -> Row:
-    """Adds the tuples of data already there; returns data_objects, records, markers."""
+    """Adds the tuples of data files made before ``until``; returns data_objects, records, markers."""
     view.check(config.schema)
-    reader = Reader(spark, config, timing)
-    scan = reader._scan(tolerant=True).where(patterns.predicate(found, reader._parts()))
-    commits = reader.logs.commits()
-    if until is not None:
-        commits = commits.where(F.col("inserted_at_us") < keys.micros(until))
-    rows = scan.join(reader._commit_names(commits), [KEY, "__commit"], "left_semi")
+    rows = Reader(spark, config, timing)._snapshot(found, tolerant=True)
+    if until is not None:  # by when the file was made, whatever the write says of its time
+        rows = rows.where(F.col("__changed") < F.timestamp_micros(F.lit(keys.micros(until))))
     filled = zero_fill(rows, config.schema, config.optional, (KEY, "__commit"))
     value = lambda c: (view.of or {}).get(c, F.col(c))
     text = {c: F.date_format(value(c), view.layouts[c]) if c in view.layouts else value(c).cast("string") for c in view.columns}
     ok = F.lit(True) if view.where is None else F.coalesce(view.where, F.lit(False))
     tuples = filled.select(F.concat(KEY, F.lit("/"), "__commit").alias("__object"), *[F.when(ok, x).alias(f"v_{c}") for c, x in text.items()])
     stats = views.backfill_stats(tuples, "__object", [f"v_{c}" for c in view.columns]).first()
-    views.distinct_tuples(filled, view).write.mode("append").parquet(config.path("views", view.name))
+    add_tuples(spark, config, view, views.distinct_tuples(filled, view))
     return stats

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 from urllib.parse import quote
@@ -16,8 +17,10 @@ from tidemark.operators import views
 from tidemark.operators.batches import group_by_partition
 from tidemark.operators.projection import zero_fill
 from tidemark.sources.config import StoreConfig, Timing, load_timing
+from tidemark.sources.files import AT_ONCE
 from tidemark.sources.log import Commit, Logs, WriteResult
 from tidemark.sources.observe import measured
+from tidemark.sources.views import add_tuples
 
 
 class CommitAfterTimeout(RuntimeError):
@@ -45,6 +48,10 @@ class _Plan:
     prior: Commit | None = None
 
 
+def _by_key(results: dict[str, WriteResult]) -> list[WriteResult]:
+    return [results[k] for k in sorted(results, key=str.encode)]
+
+
 def ref_name(us: int, token: str, attempt: str, partition: str) -> str:
     return f"{keys.REFS}{us:016d}-{token}-{attempt};{quote(partition, safe='$&+:=@~-._')}.ref"
 
@@ -105,23 +112,23 @@ class Writer:
             if r.bad:
                 raise patterns.PatternError(f"bad partition value in key {r.key!r}")
             patterns.check_key(r.key, list(c.parts))
-        plans = [self._plan(r, token, token_of, optimistic) for r in found]
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            plans = list(pool.map(lambda r: self._plan(r, token, token_of, optimistic), found))
         fresh = [p for p in plans if p.prior is None]
         self.logs.repair([p.prior for p in plans if p.prior is not None])
         stamped_us = keys.micros(inserted_at or c.clock())
         done = {p.key: p.prior for p in plans if p.prior is not None}
-        results = [self.logs.result(x, ref_name(x.ref_micro_ts, x.token, x.attempt_id, x.partition)) for x in done.values()]
+        results = {k: self.logs.result(x, ref_name(x.ref_micro_ts, x.token, x.attempt_id, x.partition)) for k, x in done.items()}
         if fresh:
             rows = self._rows(df, parts, key, fresh, stamped_us)
             for v in c.views:  # before the data: any data file implies its tuples
                 self._emit(v, rows)
             self._data(rows)
             late = self._commit(fresh, stamped_us, results)
-        results.sort(key=lambda r: r.data_path)
         self.counters.update(records=sum(p.rows for p in fresh), partitions=len(fresh))
         if fresh and late:
-            raise CommitAfterTimeout(results)
-        return results
+            raise CommitAfterTimeout(_by_key(results))
+        return _by_key(results)
 
     def _plan(self, r: Row, token, token_of, optimistic) -> _Plan:
         own = token
@@ -153,38 +160,42 @@ class Writer:
         spread.write.partitionBy(*path).mode("append").option("compression", self.config.codec).parquet(self.config.path("data"))
 
     def _emit(self, view: views.View, rows: DataFrame) -> None:
-        views.distinct_tuples(rows, view).write.mode("append").parquet(self.config.path("views", view.name))
+        add_tuples(self.spark, self.config, view, views.distinct_tuples(rows, view))
 
-    def _commit(self, fresh: list[_Plan], stamped_us: int, results: list[WriteResult]) -> bool:
+    def _commit(self, fresh: list[_Plan], stamped_us: int, results: dict[str, WriteResult]) -> bool:
         """Refs, then each partition's lock, then the log rows of those locked here; whether any came too late.
 
-        Refs and log rows are one small file each, however many partitions.
+        Refs and log rows are one small file each, however many partitions;
+        locks are made some at a time, and each is judged by when it was made.
         """
-        late, locked = False, []
         stamps = [keys.micros(self.config.clock()) for _ in fresh]
         names = [ref_name(us, p.token, p.attempt, p.key) for us, p in zip(stamps, fresh, strict=True)]
-        try:
-            self.logs.add_refs(names)
-            for p, us, name in zip(fresh, stamps, names, strict=True):
-                commit = Commit(p.key, p.token, p.attempt, us, stamped_us, p.rows)
+        self.logs.add_refs(names)
+        wait = self.timing.commit_timeout.total_seconds() * 1e6
+
+        def lock(p: _Plan, us: int) -> tuple[Commit, bool, bool] | Exception:
+            """The commit that stands, whether it is ours, whether it came too late."""
+            commit = Commit(p.key, p.token, p.attempt, us, stamped_us, p.rows)
+            try:
                 if self.logs.lock(commit):
-                    locked.append((commit, name))
-                    continue
-                other = self.logs.find(p.key, p.token)
-                self.counters["optimistic_collisions"] += 1
-                self.logs.repair([other])
-                results.append(self.logs.result(other, ref_name(other.ref_micro_ts, other.token, other.attempt_id, other.partition)))
-        except Exception as e:
-            self.logs.add_commits([c for c, _ in locked])
-            done = [*results, *(self.logs.result(c, name) for c, name in locked)]
-            raise PartialWrite(sorted(done, key=lambda r: r.data_path), e) from e
-        self.logs.add_commits([c for c, _ in locked])
-        for commit, name in locked:
-            results.append(self.logs.result(commit, name))
-            after = keys.micros(self.config.clock()) - commit.ref_micro_ts > self.timing.commit_timeout.total_seconds() * 1e6
-            self.counters["commit_after_timeout"] += after
-            late |= after
-        return late
+                    return commit, True, keys.micros(self.config.clock()) - us > wait
+                return self.logs.find(p.key, p.token), False, False
+            except Exception as e:  # raised below, when the others are known
+                return e
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            made = list(pool.map(lock, fresh, stamps))
+        failed = [x for x in made if isinstance(x, Exception)]
+        standing = [x for x in made if not isinstance(x, Exception)]
+        self.logs.add_commits([c for c, ours, _ in standing if ours])
+        self.logs.repair([c for c, ours, _ in standing if not ours])
+        self.counters["optimistic_collisions"] += sum(not ours for _, ours, _ in standing)
+        self.counters["commit_after_timeout"] += sum(late for _, _, late in standing)
+        for c, _, _ in standing:
+            results[c.partition] = self.logs.result(c, ref_name(c.ref_micro_ts, c.token, c.attempt_id, c.partition))
+        if failed:
+            raise PartialWrite(_by_key(results), failed[0]) from failed[0]
+        return any(late for _, _, late in standing)
 
     @measured
     def restamp(self, prior: WriteResult) -> WriteResult:
@@ -193,8 +204,9 @@ class Writer:
         if not prior.data_path.startswith(base) or not prior.ref_path.startswith(self.config.path("log", "refs") + "/"):
             raise ValueError(f"{prior.data_path} does not belong to this dataset")
         *segments, commit = prior.data_path.removeprefix(base).split("/")
-        token, attempt = keys.parse_commit_name(commit.removeprefix("__commit="))
-        key = "/".join(s.removeprefix("__pk_") for s in segments)
+        token, attempt = keys.parse_commit_name(keys.unescape_folder(commit.removeprefix("__commit=")))
+        pairs = [tuple(map(keys.unescape_folder, s.split("=", 1))) for s in segments]
+        key = "/".join(f"{p.removeprefix('__pk_')}={v}" for p, v in pairs)
         us = keys.micros(self.config.clock())
         name = ref_name(us, token, attempt, key)
         self.logs.add_refs([name])

@@ -8,6 +8,7 @@ checkpointed interval gives the same entries, as refs are never changed.
 
 from __future__ import annotations
 
+import heapq
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -21,22 +22,47 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from tidemark.functions.durations import parse_duration
-from tidemark.functions.keys import REF_NAME, REFS
+from tidemark.functions.keys import REF_NAME, REFS, data_folder
 from tidemark.sources.reader import Reader
 
 ENTRY = "offset string, key string, data_path string, ref_path string, inserted_at timestamp, row_count long, token string, attempt_id string"
 FORMAT = "tidemark_changes"
 EPOCH = datetime(1970, 1, 1)
+#: Refs that the driver holds at a time.
+AT_ONCE = 10_000
 
 
-def _column(root: str, name: str, columns: list[str]) -> list[dict]:
-    """A log's rows; the logs have a row per write, and the source runs on the driver alone."""
+def _log(root: str, name: str) -> ds.Dataset | None:
     fs, at = (pafs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")) if root.startswith(("file:", "/")) else pafs.FileSystem.from_uri(root)
     path = f"{at.rstrip('/')}/log/{name}"
     if fs.get_file_info(path).type == pafs.FileType.NotFound:
-        return []
+        return None
     files = [f.path for f in fs.get_file_info(pafs.FileSelector(path)) if f.path.endswith(".parquet")]
-    return ds.dataset(files, filesystem=fs, format="parquet").to_table(columns=columns).to_pylist() if files else []
+    return ds.dataset(files, filesystem=fs, format="parquet") if files else None
+
+
+def _next_refs(root: str, since: str, until: str, count: int) -> list[str]:
+    """The first ``count`` refs after ``since``, up to and with ``until``, in order.
+
+    The scan is bounded by statistics and holds ``count`` names at a time.
+    """
+    log = _log(root, "refs")
+    if log is None:
+        return []
+    bounds = (ds.field("ref_key") > since) & (ds.field("ref_key") <= until)
+    least: list[str] = []
+    for batch in log.to_batches(columns=["ref_key"], filter=bounds):
+        least = heapq.nsmallest(count, {*least, *batch.column(0).to_pylist()})
+    return least
+
+
+def _commits_of(root: str, tokens: list[str]) -> dict[tuple[str, str], dict]:
+    """The commits of some writes."""
+    log = _log(root, "commits") if tokens else None
+    if log is None:
+        return {}
+    found = log.to_table(columns=["partition", "token", "attempt_id", "row_count"], filter=ds.field("token").isin(tokens))
+    return {(c["partition"], c["token"]): c for c in found.to_pylist()}
 
 
 def decode_ref(name: str) -> tuple[int, str, str, str] | None:
@@ -51,20 +77,23 @@ def decode_ref(name: str) -> tuple[int, str, str, str] | None:
 
 def read_page(root: str, since: str, until: str, cutoff_us: int, page: int) -> tuple[list[tuple], str]:
     """Entries after ``since`` up to and with ``until``, at most ``page``, and the last ref visited."""
-    commits = {(c["partition"], c["token"]): c for c in _column(root, "commits", ["partition", "token", "attempt_id", "row_count"])}
     cutoff, out, at = f"{REFS}{cutoff_us:016d}", [], since
-    for name in sorted(r["ref_key"] for r in _column(root, "refs", ["ref_key"])):
-        if name <= since:
-            continue
-        if len(out) >= page or name > cutoff or until and name > until:
+    end = min(until, cutoff) if until else cutoff
+    while len(out) < page:
+        names = _next_refs(root, at, end, min(page, AT_ONCE))
+        refs = [(name, decode_ref(name)) for name in names]
+        commits = _commits_of(root, sorted({r[1] for _, r in refs if r}))
+        for name, ref in refs:
+            if len(out) >= page:
+                return out, at
+            at = name
+            commit = commits.get((ref[3], ref[1])) if ref else None
+            if commit and commit["attempt_id"] == ref[2]:
+                us, token, attempt, key = ref
+                path = data_folder(f"{root.rstrip('/')}/data", key, token, attempt)
+                out.append((name, key, path, name, EPOCH + timedelta(microseconds=us), commit["row_count"], token, attempt))
+        if len(names) < min(page, AT_ONCE):
             break
-        at = name
-        ref = decode_ref(name)
-        commit = commits.get((ref[3], ref[1])) if ref else None
-        if commit and commit["attempt_id"] == ref[2]:
-            us, token, attempt, key = ref
-            path = "/".join([root.rstrip("/"), "data", *(f"__pk_{s}" for s in key.split("/")), f"__commit={token}-{attempt}"])
-            out.append((name, key, path, name, EPOCH + timedelta(microseconds=us), commit["row_count"], token, attempt))
     return out, at
 
 
