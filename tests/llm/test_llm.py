@@ -706,6 +706,32 @@ def test_top_k(spark):
     assert one.count() == 0
 
 
+def test_top_k_skips_what_lies_apart(spark):
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(40, 16)) * 3
+    rows = [(k, (centres[k % 40] + r.normal(size=16) * 0.05).tolist()) for k in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    small = {"block": 64, "rows_per_task": 600, "pivots": 40}
+    scored, read = vector_search.scored_share(df, F.col("vec_id") % 50 == 0, **small)
+    assert scored < 0.2 and read < 0.5
+    v = np.floor(256 * np.array([e for _, e in rows]))
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in vector_search.top_k(df, F.col("vec_id") % 50 == 0, **small).collect()}
+    for q in range(0, 6000, 50):
+        scores = v @ v[q]
+        best = [i for i in np.lexsort((np.arange(6000), -scores)) if i != q][:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, int(scores[i])) for i in best]
+
+
+def test_bounds_hold():
+    r = np.random.default_rng(9)
+    p, v, q = r.normal(size=(5, 8)) * 100, r.normal(size=(300, 8)) * 100, r.normal(size=(50, 8)) * 100
+    d, norm = vector_search._distances(q, p), (q * q).sum(1)
+    block = vector_search.Block(np.arange(300), v, p)
+    assert (block.ranges.bound(d, d, norm) >= (q @ v.T).max(1)).all()
+    group = vector_search.Ranges.of(q, p)
+    assert block.ranges.bound(group.near[None], group.far[None], np.array([group.norm]))[0] >= (q @ v.T).max()
+
+
 # queries -------------------------------------------------------------------
 
 

@@ -1,19 +1,22 @@
 """Exact top-k search by inner product over a pivot-distance index.
 
 Vectors are keyed by nearest pivot and distance to it (iDistance, Jagadish et
-al.), sorted by that key and cut into blocks: annuli around a pivot.  With
-|<q, v>| bounded through |q - v|^2 = |q|^2 + |v|^2 - 2<q, v> and the triangle
-inequality |q - v| >= |d(q, p) - d(p, v)|, no vector of an annulus
-[near, far] with largest squared norm n can score more than
-(|q|^2 + n - gap^2) / 2, where gap is how far d(q, p) lies outside it.  A query
-starts with the scores of its own annulus, takes annuli in order of falling
-bound, and stops where the bound is under its k-th score.
+al.), sorted by that key and cut into blocks: annuli around a pivot.  Each
+annulus knows how far its vectors lie from every pivot, at least and at most.
+With 2<q, v> = |q|^2 + |v|^2 - |q - v|^2 and the triangle inequality
+|q - v| >= |d(q, p) - d(p, v)|, no vector of an annulus with largest squared
+norm n can score more than (|q|^2 + n - gap^2) / 2, where gap is how far some
+d(q, p) lies outside the annulus's distances, for the pivot that tells most.  A
+query starts with the scores of its own annulus, takes annuli in its own order
+of falling bound, and stops where the bound is under its k-th score.  Queries
+are written by annulus too, with the same ranges; a task reads only those
+blocks of queries that one of its annuli may serve by the same bound.
 
 Pivots are fitted on a documented sample of at most ``sample`` vectors (those
 whose id hashes are smallest); they only steer how much is skipped, never
 what is found.  All rows are indexed and no candidate is dropped.  Sorting
 breaks ties by id, so many equal vectors are many blocks in many tasks.  Each
-task holds its own blocks and one batch of queries at a time, read from the
+task holds its own blocks and one block of queries at a time, read from the
 folder the cluster shares.
 
 Defined results: vectors that are null or hold null, NaN or infinite
@@ -112,30 +115,40 @@ class Best:
             self.score[r], self.id[r] = s[order], i[order]
 
 
-class Block:
-    def __init__(self, pivot: int, near: float, far: float, ids: np.ndarray, v: np.ndarray) -> None:
-        self.pivot, self.near, self.far, self.ids, self.v = pivot, near, far, ids, v
-        self.norm = float((v * v).sum(1).max())
-
-    def bound(self, to_pivots: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        """No vector of this annulus scores more than this with each query."""
-        d = to_pivots[:, self.pivot]
-        gap = np.maximum(0.0, np.maximum(self.near - d, d - self.far))
+class Ranges:
+    """Where some vectors lie: their distances to each pivot, from near to far, and their largest squared norm."""
+
+    def __init__(self, near: np.ndarray, far: np.ndarray, norm: np.ndarray) -> None:
+        self.near, self.far, self.norm = near, far, norm
+
+    @classmethod
+    def of(cls, v: np.ndarray, p: np.ndarray) -> Ranges:
+        d = _distances(v, p)
+        return cls(d.min(0), d.max(0), np.float64((v * v).sum(1).max()))
+
+    def bound(self, near: np.ndarray, far: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """No vector here scores more than this with a query at these distances (a row for each query)."""
+        gap = np.maximum(0.0, np.maximum(self.near - far, near - self.far)).max(1, initial=0.0)
         # the slack covers rounding of distances, many times over
-        return (norms + self.norm - gap * gap) / 2 + 1.0 + 1e-9 * (norms + self.norm)
+        return (norm + self.norm - gap * gap) / 2 + 1.0 + 1e-9 * (norm + self.norm)
+
+
+class Block:
+    def __init__(self, ids: np.ndarray, v: np.ndarray, p: np.ndarray) -> None:
+        self.ids, self.v, self.ranges = ids, v, Ranges.of(v, p)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], dim: int, size: int) -> Iterator[tuple[Block, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], p: np.ndarray, size: int) -> Iterator[tuple[Block, np.ndarray]]:
     """Annuli of rows sorted by pivot and distance, with which rows are queries."""
     held: list[tuple] = []
 
     def block() -> tuple[Block, np.ndarray]:
-        ids, query, pivots, dist, v = zip(*held, strict=True)
-        m = np.frombuffer(b"".join(v)).reshape(-1, dim)
-        return Block(pivots[0], dist[0], dist[-1], np.array(ids, np.int64), m), np.array(query, bool)
+        ids, query, _, v = zip(*held, strict=True)
+        m = np.frombuffer(b"".join(v)).reshape(-1, p.shape[1])
+        return Block(np.array(ids, np.int64), m, p), np.array(query, bool)
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "is_query", "pivot", "v")), strict=True):
             if held and (len(held) >= size or row[2] != held[0][2]):
                 yield block()
                 held = []
@@ -144,14 +157,74 @@ def _blocks(batches: Iterator[pa.RecordBatch], dim: int, size: int) -> Iterator[
         yield block()
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 32, sample: int = 2048, block: int = 1024, rows_per_task: int = 16384, query_batch: int = 512) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows that ``is_query`` marks, over (vec_id, embedding)."""
+class QueryBlocks:
+    """The queries as they were written: a row for each annulus that has some, read where it can matter."""
+
+    SUMMARY = ["n", "near", "far", "norm", "least"]
+
+    def __init__(self, folder: str, dim: int) -> None:
+        self.fs, self.at = filesystem(folder)
+        self.dim = dim
+
+    def needed(self, annuli: list[Block], counts: dict[str, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(number of the first, ids, floors, vectors) of each block of queries that some annulus may serve."""
+        from pyarrow.fs import FileSelector
+
+        nth = 0
+        for path in sorted(f.path for f in self.fs.get_file_info(FileSelector(self.at)) if f.path.endswith(".parquet")):
+            with self.fs.open_input_file(path) as file:
+                parquet = pq.ParquetFile(file)
+                for group in range(parquet.num_row_groups):
+                    about = parquet.read_row_group(group, self.SUMMARY).to_pydict()
+                    numbers = nth + np.concatenate([[0], np.cumsum(about["n"])]).astype(np.int64)
+                    nth = int(numbers[-1])
+                    if not about["n"]:
+                        continue
+                    near, far = np.array(about["near"]), np.array(about["far"])
+                    best = np.max([b.ranges.bound(near, far, np.array(about["norm"])) for b in annuli], axis=0)
+                    rows = np.flatnonzero(best >= np.array(about["least"]))
+                    counts["query_blocks"] += len(best)
+                    counts["read_blocks"] += len(rows)
+                    if len(rows):
+                        payload = parquet.read_row_group(group, ["ids", "floors", "vectors"]).take(rows)
+                        for k, ids, floors, v in zip(rows.tolist(), *(payload.column(c) for c in ("ids", "floors", "vectors")), strict=True):
+                            yield int(numbers[k]), np.frombuffer(ids.as_py(), np.int64), np.frombuffer(floors.as_py(), np.int64), np.frombuffer(v.as_py()).reshape(-1, self.dim)
+
+
+def _search(batch: tuple[np.ndarray, np.ndarray, np.ndarray], annuli: list[Block], p: np.ndarray, k: int, counts: dict[str, int]) -> Best:
+    """The best of ``annuli`` for some queries: each takes annuli in its own order of falling bound, and stops."""
+    ids, floors, q = batch
+    best = Best(len(ids), k, floors)
+    d, norm = _distances(q, p), (q * q).sum(1)
+    bounds = np.stack([b.ranges.bound(d, d, norm) for b in annuli])
+    order = np.argsort(-bounds, axis=0, kind="stable")
+    every = np.arange(len(ids))
+    counts["pairs"] += len(ids) * sum(len(b.ids) for b in annuli)
+    for turn in order:
+        open_ = bounds[turn, every] >= best.least
+        if not open_.any():
+            break
+        for a in np.unique(turn[open_]).tolist():
+            rows = np.flatnonzero(open_ & (turn == a))
+            counts["scored"] += len(rows) * len(annuli[a].ids)
+            best.add(rows, _scores(q[rows], annuli[a].v), annuli[a].ids, ids[rows])
+    return best
+
+
+FOUND = "query_id long, nth long, vec_id long, score long"
+COUNTS = ("pairs", "scored", "query_blocks", "read_blocks")
+
+
+def _found(
+    vectors: DataFrame, is_query: Column, k: int, pivots: int, sample: int, block: int, rows_per_task: int, query_batch: int, counted: bool
+) -> DataFrame | None:
+    """Each task's best for each query, or what its search looked at; None without vectors."""
     spark = vectors.sparkSession
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("is_query")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
     dim, count = rows.agg(F.max(F.size("embedding")), F.count(F.lit(1))).first()
     if not count:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return None
     dim = max(1, dim)
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
     p = fit_pivots(_whole(some, dim), pivots)
@@ -168,47 +241,63 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 32, sa
     index = cut(index.repartitionByRange(tasks, "pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id"))
 
     def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query with its k-th score within its own annulus."""
-        for b, query in _blocks(batches, dim, block):
+        """Each annulus's queries with their k-th scores within it."""
+        for b, query in _blocks(batches, p, block):
             at = np.flatnonzero(query)
+            if not len(at):
+                continue
             best = Best(len(at), k)
             for s in range(0, len(at), query_batch):
                 part = at[s : s + query_batch]
                 best.add(np.arange(s, s + len(part)), _scores(b.v[part], b.v), b.ids, b.ids[part])
-            yield pa.RecordBatch.from_arrays([pa.array(b.ids[at]), pa.array(best.least), pa.array([x.tobytes() for x in b.v[at]], pa.binary())], names=["q", "least", "v"])
+            q, floors = b.v[at], best.least
+            r = Ranges.of(q, p)
+            row = ([len(at)], [r.near.tolist()], [r.far.tolist()], [float(r.norm)], [int(floors.min())], [b.ids[at].tobytes()], [floors.tobytes()], [q.tobytes()])
+            lists = pa.list_(pa.float64())
+            kinds = (pa.int64(), lists, lists, pa.float64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], names=[*QueryBlocks.SUMMARY, "ids", "floors", "vectors"])
 
     folder = scratch(spark, "queries")
-    index.mapInArrow(first_look, "q long, least long, v binary").write.parquet(folder)
+    index.mapInArrow(first_look, "n long, near array<double>, far array<double>, norm double, least long, ids binary, floors binary, vectors binary").write.parquet(folder)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        annuli = [b for b, _ in _blocks(batches, dim, block)]
-        if not annuli:
-            return
-        fs, at = filesystem(folder)
-        from pyarrow.fs import FileSelector
-
-        nth = 0
-        for path in sorted(f.path for f in fs.get_file_info(FileSelector(at)) if f.path.endswith(".parquet")):
-            with fs.open_input_file(path) as file:
-                for batch in pq.ParquetFile(file).iter_batches(batch_size=query_batch):
-                    ids, least = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-                    q = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(-1, dim)
-                    best = Best(len(ids), k, least)
-                    bounds = np.stack([b.bound(_distances(q, p), (q * q).sum(1)) for b in annuli])
-                    for a in np.argsort(-bounds.max(1), kind="stable").tolist():
-                        rows = np.flatnonzero(bounds[a] >= best.least)
-                        if len(rows):
-                            best.add(rows, _scores(q[rows], annuli[a].v), annuli[a].ids, ids[rows])
+        annuli = [b for b, _ in _blocks(batches, p, block)]
+        counts = dict.fromkeys(COUNTS, 0)
+        if annuli:
+            for first, ids, floors, q in QueryBlocks(folder, dim).needed(annuli, counts):
+                for s in range(0, len(ids), query_batch):
+                    part = slice(s, s + query_batch)
+                    best = _search((ids[part], floors[part], q[part]), annuli, p, k, counts)
                     r, c = np.nonzero(best.id != np.iinfo(np.int64).max)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(nth + r), pa.array(best.id[r, c]), pa.array(best.score[r, c])], names=["query_id", "nth", "vec_id", "score"])
-                    nth += len(ids)
+                    if not counted:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[part][r]), pa.array(first + s + r), pa.array(best.id[r, c]), pa.array(best.score[r, c])], names=["query_id", "nth", "vec_id", "score"])
+            if counted:
+                counts["pairs"] = sum(len(b.ids) for b in annuli)
+                yield pa.RecordBatch.from_arrays([pa.array([counts[c]], pa.int64()) for c in COUNTS], names=list(COUNTS))
+
+    return index.mapInArrow(search, ", ".join(f"{c} long" for c in COUNTS) if counted else FOUND)
+
 
-    found = index.mapInArrow(search, "query_id long, nth long, vec_id long, score long")
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 32, sample: int = 2048, block: int = 256, rows_per_task: int = 16384, query_batch: int = 512) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows that ``is_query`` marks, over (vec_id, embedding)."""
+    found = _found(vectors, is_query, k, pivots, sample, block, rows_per_task, query_batch, False)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     order = Window.partitionBy("nth", "query_id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def scored_share(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 32, sample: int = 2048, block: int = 256, rows_per_task: int = 16384, query_batch: int = 512) -> tuple[float, float]:
+    """Which share of (query, vector) pairs a search scores, and of query blocks its tasks read."""
+    found = _found(vectors, is_query, k, pivots, sample, block, rows_per_task, query_batch, True)
+    if found is None:
+        return 0.0, 0.0
+    rows, scored, blocks, read = found.agg(*[F.sum(c) for c in COUNTS]).first()
+    queries = vectors.where(F.coalesce(is_query, F.lit(False))).count()
+    return scored / max(1, rows * queries), read / max(1, blocks)
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best of all ``embeddings`` for each whose id is divisible by 50."""
     return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
