@@ -414,6 +414,44 @@ def test_katz(spark):
             assert sum(p((*h, w)) for w in words) + rest == pytest.approx(1)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_tables_sum_to_one(spark, order):
+    rows = [(d[0], d[1], True) for d in corpus() if len(d[1] or "") < 5000]
+    k = katz.Katz(spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3), katz.KatzModel(order=order, batch_tokens=400, part_entries=150))
+
+    def table(number, kind):
+        out = {}
+        for r in k.tables[number].where("batch = -1").collect():
+            out |= dict(zip(katz.unpack_sorted(bytes(r.first)).tolist(), katz.unpack(bytes(r.second), kind).tolist(), strict=True))
+        return out
+
+    counts = {m: table(2 * m, np.int64) for m in range(1, order + 1)}
+    weights = {m: table(2 * m + 1, np.float64) for m in range(2, order + 1)}
+    mixed = lambda a, b: int(katz.mix(np.array([a], np.uint64), np.array([b], np.uint64))[0])
+    words = sorted(counts[1])
+    single = dict(zip(words, k.evaluator.single(np.array([counts[1][w] for w in words])).tolist(), strict=True))
+    unseen = float(k.evaluator.single(np.zeros(1, np.int64))[0])
+    assert sum(single.values()) + unseen == pytest.approx(1, abs=1e-12)
+    for h, backoff in weights[2].items():
+        seen = {w: counts[2][g] for w in words if (g := mixed(h, w)) in counts[2]}
+        d, total = k.evaluator.ratios(2), sum(seen.values())
+        cut = {w: float(katz.discounted(np.array([r]), d)[0]) for w, r in seen.items()}
+        total += sum(cut.values()) >= total  # nothing discounted: one is kept for what is unseen
+        p = sum(cut[w] / total if w in seen else backoff * single[w] for w in words) + backoff * unseen
+        assert p == pytest.approx(1, abs=1e-12)
+    assert len(weights[2]) > 5 and (order == 2 or len(weights[3]) > 50)
+
+
+def test_katz_rows_that_move(spark):
+    """Twice the batches and partitions of the same texts: no more rows than n-grams, or than pairs."""
+    rows = [(d[0], d[1], True) for d in corpus() if d[1]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3).cache()
+    for tokens, entries in ((800, 400), (400, 200), (30, 20)):
+        k = katz.Katz(df, katz.KatzModel(order=2, batch_tokens=tokens, part_entries=entries))
+        moved = k.tables[4].where("batch >= 0").count()
+        assert moved <= min(k.n_batches * k.parts, sum(r.tokens for r in k.batches.collect()))
+
+
 def test_katz_packed_arrays():
     a = np.sort(np.random.default_rng(1).integers(0, 1 << 56, 5000).astype(np.uint64))
     assert (katz.unpack_sorted(katz.pack_sorted(a)) == a).all()

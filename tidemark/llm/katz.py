@@ -18,6 +18,10 @@ n-gram's context; contexts are summed and answered the same way.  So what moves
 is the distinct n-grams of batches, some five bytes each, never the tokens, and
 a task holds one batch or one partition, whose sizes are parameters.
 
+A batch and a partition that share no n-gram exchange nothing: the rows that
+move are at most as many as batches times partitions, and never more than the
+batches' distinct n-grams.  Weights and probabilities are doubles throughout.
+
 The driver sees counts of counts only.  N-grams are told apart by 56-bit
 hashes: of 10^10 distinct ones some 700 are expected to share theirs.
 
@@ -30,7 +34,6 @@ empty table.
 
 from __future__ import annotations
 
-import gc
 import io
 import uuid
 from collections.abc import Iterator
@@ -50,8 +53,8 @@ from tidemark.llm.zip_ranges import filesystem
 START, END = (xxhash.xxh64_intdigest(b) >> 8 for b in (b"\t", b"\n"))
 #: Counts up to this are discounted.
 K = 5
-#: Sums of probabilities move as whole numbers of these.
-FIXED = float(1 << 44)
+#: Sums of probabilities move as whole numbers of these, so that their sum does not depend on its order.
+FIXED = float(1 << 52)
 BATCHES = "batch long, path string, tokens long"
 ASKED = "part long, batch long, keys binary, sums binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -62,9 +65,9 @@ ANSWER = "batch long, part long, first binary, second binary"
 class KatzModel:
     order: int = 2
     #: Tokens of one batch, beyond which the next one starts.
-    batch_tokens: int = 1 << 20
+    batch_tokens: int = 1 << 21
     #: Entries of one partition of a table, about.
-    part_entries: int = 1 << 19
+    part_entries: int = 1 << 20
 
 
 # packed arrays ------------------------------------------------------------
@@ -90,11 +93,6 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
-def rounded(x: np.ndarray) -> np.ndarray:
-    """Doubles to 28 bits of their fractions (within 2e-9 of each), whose low bytes pack to nothing."""
-    return ((x.view(np.int64) + (1 << 23)) & ~((1 << 24) - 1)).view(np.float64)
-
-
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The hash of a longer n-gram from those of its first words and its last."""
     with np.errstate(over="ignore"):
@@ -216,16 +214,6 @@ def make_batches(docs: DataFrame, folder: str, model: KatzModel) -> DataFrame:
     return cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "train").mapInArrow(run, BATCHES))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files that only led up to what is in the shared folder.
-
-    Spark removes them once the driver has collected what refers to them,
-    which it seldom does by itself while executors do the work.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 # tables -------------------------------------------------------------------
 
 
@@ -372,13 +360,11 @@ class Katz:
         totals = []
         for order in range(1, model.order + 1):
             self.tables[_counts(order)] = count_table(self._ask(order))
-            release(self.spark)
             totals.append(stats(self.tables[_counts(order)]))
             self.evaluator = Evaluator(tuple((n, tuple(of), v) for n, of, v in totals))
             if order > 1:
                 self.tables[_weights(order)] = weight_table(self._contexts(order), self.evaluator, order)
-                release(self.spark)
-
+    
     def _ask(self, order: int) -> DataFrame:
         """Each batch's distinct n-grams and their counts in training texts, by partition."""
         folder, parts = self.folder, self.parts
@@ -476,7 +462,7 @@ def weight_table(sums: DataFrame, evaluator: Evaluator, order: int) -> DataFrame
         # where nothing was discounted, one is added to the total for what is unseen
         spare = (left <= 0) & (total > 0)
         total, left = total + spare, np.where(spare, 1.0, left)
-        backoff = rounded(np.where(total > 0, left / np.maximum(1, total) / np.maximum(1 - shorter, unseen), 1.0))
+        backoff = np.where(total > 0, left / np.maximum(1, total) / np.maximum(1 - shorter, unseen), 1.0)
         total = total.astype(np.int64)
         out, at = [], 0
         for b, k in zip(group.column("batch").to_pylist(), keys, strict=True):
