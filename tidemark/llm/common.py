@@ -67,13 +67,29 @@ def scratch(spark: SparkSession, name: str) -> str:
     return uri
 
 
+#: Whether Spark removes an execution's shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here."""
+    """``df`` written to the shared folder and read again: lineage ends here.
+
+    The shuffles that led up to it are not needed any more, and their files
+    go at once.
+    """
     spark = df.sparkSession
     shared = checkpoint_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
 
 
 def ascii_lower(text: Column) -> Column:
