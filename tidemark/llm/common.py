@@ -84,7 +84,7 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # a frame made while the setting holds
     finally:
         if before is None:
             spark.conf.unset(CLEAN_UP)

@@ -7,7 +7,7 @@ unseen word.  backoff(h) = (1 - sum of p over what followed h) / (1 - sum of
 the shorter model's p over the same words), so every p(. | h) sums to one.
 
 How it is spread.  Texts are read once and become *batches*: the batch's
-distinct words as 56-bit hashes, and for each token the word's number, in one
+distinct words as 64-bit hashes, and for each token the word's number, in one
 file in the shared folder.  For each order a batch sends its distinct n-grams
 with their counts, sorted and packed, to the partitions of the n-gram table (by
 ranges of the hash, so that a word that makes up a third of all tokens is one
@@ -15,15 +15,15 @@ entry per batch, and no key is hot).  A partition adds them up, stores its
 slice of the table and answers each batch with the counts, in the order asked.
 One batch per n-gram is its owner and adds up what backoff needs for the
 n-gram's context; contexts are summed and answered the same way.  So what moves
-is the distinct n-grams of batches, some five bytes each, never the tokens, and
+is the distinct n-grams of batches, some six bytes each, never the tokens, and
 a task holds one batch or one partition, whose sizes are parameters.
 
 A batch and a partition that share no n-gram exchange nothing: the rows that
 move are at most as many as batches times partitions, and never more than the
 batches' distinct n-grams.  Weights and probabilities are doubles throughout.
 
-The driver sees counts of counts only.  N-grams are told apart by 56-bit
-hashes: of 10^10 distinct ones some 700 are expected to share theirs.
+The driver sees counts of counts only.  N-grams are told apart by 64-bit
+hashes: of 10^10 distinct ones three are expected to share theirs.
 
 Defined results: null and empty texts are the end token alone; a null id
 counts as empty text, whose remainder is 0, for training; repeated rows count
@@ -50,7 +50,7 @@ from tidemark.llm.common import cut, read, scratch
 from tidemark.llm.zip_ranges import filesystem
 
 #: Neither can be a word, as both are white space.
-START, END = (xxhash.xxh64_intdigest(b) >> 8 for b in (b"\t", b"\n"))
+START, END = (xxhash.xxh64_intdigest(b) for b in (b"\t", b"\n"))
 #: Counts up to this are discounted.
 K = 5
 #: Sums of probabilities move as whole numbers of these, so that their sum does not depend on its order.
@@ -99,11 +99,11 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x = a * np.uint64(0x9E3779B97F4A7C15) + b
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return (x ^ (x >> np.uint64(31))) >> np.uint64(8)
+        return x ^ (x >> np.uint64(31))
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(24)) * np.uint64(parts)) >> np.uint64(32)
+    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
 def slices(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
@@ -183,7 +183,7 @@ def make_batches(docs: DataFrame, folder: str, model: KatzModel) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal known, index, rows, size
-            words = np.fromiter((END if w is None else xxhash.xxh64_intdigest(w) >> 8 for w in known), np.uint64, len(known))
+            words = np.fromiter((END if w is None else xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
             tokens = np.concatenate(index)
             # frequent words get small numbers, which pack best
             rank = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
