@@ -532,6 +532,27 @@ def test_tokenizers_agree():
         assert packing.token_ids(t).tolist() == [*full.encode(t or "", add_special_tokens=False).ids, 1]
 
 
+def test_tokenizers_agree_on_documents(spark):
+    """Every document of a table, and runs just below and above where the full tokenizer takes over."""
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for n in (packing.LONG_RUN - 1, packing.LONG_RUN, packing.LONG_RUN + 1):
+        texts += [f"a{c * n}b {c * n}\n{c * n}" for c in (" ", "\n", "\t", "x", "é", "0", "-", " \n", "ab1")]
+    for t in texts:
+        assert packing.token_ids(t).tolist() == [*full.encode(t, add_special_tokens=False).ids, 1], repr(t[:80])
+    assert sum(packing._plain(t) for t in texts) > len(texts) // 2
+
+
+def test_equal_pieces_are_packed_alike(spark):
+    rows = [(None, "one text", 0)] * 500 + [(k, "other " * (k % 9), 0) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, copies int")
+    runs = [sorted(map(tuple, packing.pack(packing.pieces(df.repartition(n)), per_task=100).collect()), key=key) for n in (1, 4)]
+    assert len(runs[0]) == 700 and runs[0] == runs[1]
+
+
 def test_best_fill_is_best():
     r = random.Random(5)
     for _ in range(200):
