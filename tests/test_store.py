@@ -177,12 +177,13 @@ def test_only_folders_of_the_pattern_are_listed(spark, made):
     clock.tick()
     plan = store.read(["period=2026-03-17/*"])._jdf.queryExecution().executedPlan().toString()
     assert store.reader.counters["folders"] == 2 and "InMemoryFileIndex(2 paths)" in plan
+    assert [r.value for r in store.reader.with_read_ahead(1 << 20).read_iter(["*"])] == [1, 2, 3, 4]
     store.read(["*"])
     assert store.reader.counters["folders"] == 2
     assert values(store.read_range()) == [1, 2, 3, 4] and store.reader.counters["folders"] == 6
     assert values(store.read(["period=none/*"])) == []
     shutil.rmtree(store.config.root.removeprefix("file://") + "/data/__pk_period=2026-03-17")
-    assert values(store.read(["period=2026-03-*/*"])) == [3]
+    assert values(store.read(["period=2026-03-*/*"])) == [3] and store.reader.counters["missing_folders"] == 2
 
 
 def test_logs_compact(spark, made):

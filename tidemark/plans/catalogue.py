@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import keys, patterns
+from tidemark.functions.durations import parse_duration
 from tidemark.operators import batches, stream, views
 from tidemark.operators.dedup import history, latest
 from tidemark.operators.projection import zero_fill
-from tidemark.sources.config import StoreConfig, Timing
+from tidemark.sources.config import StoreConfig, Timing, load_timing, write_timing
 from tidemark.sources.reader import backfill
 from tidemark.sources.store import Store
 from tidemark.sources.views import tuples_of
+from tidemark.sources.writer import CommitAfterTimeout
 from tidemark.streaming.source import process_entries, read_changes, with_records
 
 PARTS = ["day", "event_type"]
@@ -571,6 +573,60 @@ def stream_structured(s, d):
     return s.read.schema("event_id long, value double").option("recursiveFileLookup", "true").parquet(f"{at}/out")
 
 
+def poll_cursor(s, d):
+    """Refs that do not pass move the offset all the same."""
+    w = _writes(s, d)
+    page = stream.poll(_refs(w), _commits(w.where("event_type = 'none'")))
+    return s.createDataFrame([(page.entries.count(), page.next_offset)], "n_entries long, next_offset string")
+
+
+def write_late(s, d):
+    """A write whose commits all came after the timeout: it is told so, with its results, and the rows are there."""
+
+    class Slow(Clock):
+        def __call__(self) -> datetime:
+            self.now += timedelta(minutes=1)
+            return self.now
+
+    store = _store(s, d, Slow())
+    try:
+        store.write(_events(s, d))
+        found = []
+    except CommitAfterTimeout as e:
+        found = e.results
+    return s.createDataFrame([(len(found), store.read(["*"]).count())], "n_late long, n_rows long")
+
+
+def dedup_off(s, d):
+    """Without an entity rows are read as they were written, copies too."""
+    store = _store(s, d, entity=(), version=None)
+    rows = _events(s, d)
+    store.write(rows.unionByName(rows.where("event_type = 'click'")))
+    return store.read(["*"]).select("event_id")
+
+
+def timing_config(s, d):
+    """The timing that a dataset's folder holds."""
+    root = _shared(s)
+    write_timing(s, root, " 1m2.5s\n", "100ms")
+    t = load_timing(s, root)
+    us = timedelta(microseconds=1)
+    return s.createDataFrame([(t.commit_timeout // us, t.max_clock_skew // us, t.settle // us)], "commit_timeout_us long, max_clock_skew_us long, settle_us long")
+
+
+def durations(s, d):
+    rows = [(x, parse_duration(x) // timedelta(microseconds=1)) for x in ("1h", "1h2m3.5s", "250ms", "7us", "1.5m", "0s")]
+    return s.createDataFrame(rows, "text string, us long")
+
+
+def attempt_ids(s, d):
+    """Ids made one after another: distinct, of 32 digits, their times in order."""
+    found = [keys.new_id() for _ in range(1000)]
+    ordered = all(a[:12] <= b[:12] for a, b in itertools.pairwise(found))
+    back = all(keys.parse_commit_name(f"a-b-{x}") == ("a-b", x) for x in found)
+    return s.createDataFrame([(len(set(found)), all(keys.ATTEMPT.fullmatch(x) for x in found), ordered, back)], "n long, well_formed boolean, ordered boolean, read_back boolean")
+
+
 def rejected(s, d):
     """What validation turns away, and what it does not."""
     store = _loaded(s, d)
@@ -589,6 +645,9 @@ def rejected(s, d):
         "entries of this dataset": lambda: store.read_entries(entries),
         "page of none": lambda: store.poll(max_entries=0),
         "unknown codec": lambda: _store(s, d, compression="lzo"),
+        "timing that is missing": lambda: load_timing(s, _shared(s)),
+        "duration without a unit": lambda: parse_duration("5"),
+        "view of a column that is no text": lambda: _store(s, d, views=[views.View("v", ("value",))]),
         "entity without a version": lambda: _store(s, d, version=None),
     }
 
@@ -674,6 +733,12 @@ QUERIES = {
     "stream_drain": stream_drain,
     "stream_structured": stream_structured,
     "rejected": rejected,
+    "poll_cursor": poll_cursor,
+    "write_late": write_late,
+    "dedup_off": dedup_off,
+    "timing_config": timing_config,
+    "durations": durations,
+    "attempt_ids": attempt_ids,
 }
 
 _E = "WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, epoch_us(ts) AS ver FROM events)"
@@ -760,7 +825,13 @@ ORACLE_SQL = {
     "zip_by_partition": f"{_E} SELECT day, count(*) FILTER (event_type = 'click') AS n_clicks, count(*) FILTER (event_type = 'purchase') AS n_purchases FROM e WHERE event_type IN ('click', 'purchase') GROUP BY day",
     "stream_drain": "SELECT count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS sum_ids FROM events",
     "stream_structured": "SELECT event_id, value FROM events",
+    "poll_cursor": f"{_W} SELECT CAST(0 AS BIGINT) AS n_entries, 'refs/' || max({_REF} || '-' || attempt_id || ';' || replace({_KEY}, '/', '%2F') || '.ref') AS next_offset FROM w",
+    "write_late": f"{_W} SELECT (SELECT count(*) FROM w) AS n_late, (SELECT count(*) FROM events) AS n_rows",
+    "dedup_off": "SELECT event_id FROM events UNION ALL SELECT event_id FROM events WHERE event_type = 'click'",
+    "timing_config": "SELECT CAST(62500000 AS BIGINT) AS commit_timeout_us, CAST(100000 AS BIGINT) AS max_clock_skew_us, CAST(62600000 AS BIGINT) AS settle_us",
+    "durations": "SELECT text, CAST(us AS BIGINT) AS us FROM (VALUES ('1h', 3600000000), ('1h2m3.5s', 3723500000), ('250ms', 250000), ('7us', 7), ('1.5m', 90000000), ('0s', 0)) AS t(text, us)",
+    "attempt_ids": "SELECT CAST(1000 AS BIGINT) AS n, true AS well_formed, true AS ordered, true AS read_back",
     "rejected": "SELECT * FROM (VALUES ('key without a part', true), ('key with an empty value', true), ('pattern with a star inside', true), ('pattern upside down', true), ('pattern that is well formed', false),"
     " ('token with a slash', true), ('two tokens', true), ('value with a slash', true), ('entries of another dataset', true), ('entries of this dataset', false), ('page of none', true), ('unknown codec', true),"
-    " ('entity without a version', true)) AS t(test_case, rejected)",
+    " ('entity without a version', true), ('timing that is missing', true), ('duration without a unit', true), ('view of a column that is no text', true)) AS t(test_case, rejected)",
 }

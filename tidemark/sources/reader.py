@@ -42,6 +42,17 @@ class Reader:
         entity = self.config.entity if entity is None else entity
         return Reader(self.spark, self.config.narrow(schema, entity=entity, version=(version or self.config.version) if entity else None), self.timing)
 
+    def with_read_ahead(self, size: int) -> Reader:
+        """The same reader, whose iterators hold and fetch ahead about ``size`` bytes at a time.
+
+        It has a session of its own, so other queries keep their partition sizes.
+        """
+        session = self.spark.newSession()
+        for name in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"):
+            session.conf.set(name, str(size))
+        session.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+        return Reader(session, self.config, self.timing)
+
     # scans ----------------------------------------------------------------
 
     def _parts(self) -> dict[str, Column]:
@@ -60,8 +71,9 @@ class Reader:
         if len(found) > MOST_FOLDERS:
             return whole
         folders = [keys.data_folder(base, r[0], "", "").rpartition("/")[0] for r in found]
-        self.counters["folders"] += len(folders)
-        return self.logs.files.there(folders)
+        there = self.logs.files.there(folders)
+        self.counters.update(folders=len(there), missing_folders=len(folders) - len(there))
+        return there
 
     def _scan(self, tolerant: bool, partitions: DataFrame | None = None) -> DataFrame:
         """All written rows of ``partitions``, committed or not, with path columns, each row's place and its file's time."""
