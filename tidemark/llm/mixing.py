@@ -115,11 +115,11 @@ class Mixer:
         # equal rows are one with a count: partial counts before the shuffle, so a row that a third of all repeat is no hot key
         self.rows = cut(keyed.groupBy("doc_id", "tk", "size", "skey").agg(F.count(F.lit(1)).alias("copies")))
         per_source = self.rows.groupBy("skey").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("docs"))
-        per_source = cut(_ranked(per_source.withColumn("last", F.col("skey") == "n"), "last", "skey").drop("last"))
-        self.n_docs, n_sources = per_source.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.count(F.lit(1))).first()
+        per_source = _ranked(per_source.withColumn("last", F.col("skey") == "n"), "last", "skey").drop("last")
+        self.n_docs, n_sources, total = per_source.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
         w = F.get(F.array(*[F.lit(float(x)) for x in mix.weights]), F.pmod("s", F.lit(len(mix.weights))).cast("int"))
         per_source = per_source.withColumn("w", w)
-        level = self._level(per_source)
+        level = self._level(per_source, mix.budget * total)
         cap = mix.max_passes * F.col("source_size")
         target = F.when(F.col("source_size") == 0, 0.0).when(F.lit(level) * F.col("w") > cap, cap.cast("double")).otherwise(F.lit(level) * F.col("w"))
         length = F.least(F.lit(mix.block_words).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("source_size") / mix.least_blocks)))
@@ -136,14 +136,13 @@ class Mixer:
         # a row for each source: broadcast while they are few, which is known here, and merged beyond
         self.sources = F.broadcast(found) if n_sources <= mix.broadcast_sources else found.hint("merge")
 
-    def _level(self, sources: DataFrame) -> float:
-        """Words for each unit of weight: the budget shared by weight, what is above a cap shared again.
+    def _level(self, sources: DataFrame, budget: float) -> float:
+        """Words for each unit of weight: ``budget`` shared by weight, what is above a cap shared again.
 
         Each turn sees three sums.  The level only rises, so sources that are
         full stay full, and it ends.
         """
         sources = sources.where("source_size > 0")
-        budget = self.mix.budget * (sources.agg(F.sum("source_size")).first()[0] or 0)
         level, full = 0.0, -1
         while True:
             cap = self.mix.max_passes * F.col("source_size")

@@ -13,7 +13,9 @@ agrees in all compared bits of some table: nothing is missed, and no
 parameter trades recall for speed.
 
 Scale: texts are read once and shuffled never; equal fingerprints fold into
-one row before the search, so copies cost nothing.  A bucket of up to
+one row before the search, so copies cost nothing there.  What a row gets back,
+its group, comes by a join on the fingerprint, which adaptive execution splits
+where one fingerprint bears a large share of all rows.  A bucket of up to
 ``pair_limit`` distinct fingerprints compares its pairs.  A larger one takes
 an exact way that is linear in its members: two fingerprints within two bits
 share a point at most one bit from both, so each member emits its neighbours

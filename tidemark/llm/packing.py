@@ -17,7 +17,8 @@ or source with a third of the rows makes no difference.
 
 Ids come from the byte-level BPE vocabulary at ``vocabulary``.  Texts of
 printable ASCII, Latin and white space take a faster tokenizer with the same
-vocabulary, for which both were found to agree on all such texts; any other
+vocabulary and the same pattern of words; tests compare both on every document
+of a table, on runs around ``LONG_RUN`` and on random strings.  Any other
 character, a very long run of one kind, or the name of the special token takes
 the full tokenizer.
 
