@@ -186,6 +186,63 @@ def test_only_folders_of_the_pattern_are_listed(spark, made):
     assert values(store.read(["period=2026-03-*/*"])) == [3] and store.reader.counters["missing_folders"] == 2
 
 
+def test_partitions_in_pieces_on_executors(spark, made):
+    """Some hundred rows of a partition in several tasks: pieces together are what the iterator gives, and no rows come to the driver."""
+    store, clock = made(entity=["sku"], version="value")
+    rows = [("a-b" if k % 10 else "a", "c", f"s{k * 7919 % 1009:04}", k) for k in range(400)]
+    store.write(df(spark, rows))
+    store.write(df(spark, [(*r[:3], r[3] + 1) for r in rows[::3]]))
+    clock.tick()
+
+    def run(key, piece, batches):
+        import pyarrow as pa
+
+        skus = [x for b in batches for x in b.column("sku").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([piece], pa.int64()), pa.array([skus])], ["key", "piece", "skus"])
+
+    made_of = "key string, piece long, skus array<string>"
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for history in (False, True):
+            expected = [(k, [r.sku for r in v]) for k, v in store.read_partition_iter(["*"], history)]
+            for found in (
+                store.run_partitions(["*"], run, made_of, history),
+            ):
+                pieces = sorted(found.collect(), key=lambda r: r.piece)
+                assert len(pieces) > 4 > len(expected)
+                assert [(k, [x for r in pieces if r.key == k for x in r.skus]) for k in dict.fromkeys(r.key for r in pieces)] == expected
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert store.run_partitions(["period=none/*"], run, made_of).count() == 0
+
+
+def test_an_iterator_has_tasks_of_bounded_size(spark, made):
+    """However many rows there are, the driver holds two tasks' rows; the number of shuffle partitions is 4 here."""
+    store, clock = made(entity=["sku"], version="value")
+    store.write(df(spark, [("p", "c", f"s{k:04}", k) for k in range(1000)]))
+    clock.tick()
+    reader = Reader(spark, store.config, TIMING, read_ahead=4096)
+    found = reader._bounded(reader._snapshot(["*"]), reader._commits(["*"]), False)
+    sizes = [r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) > 10 and max(sizes) < 200
+    assert [r.value for r in reader.read_iter(["*"])] == list(range(1000))
+    assert [r.value for r in reader.read_range_iter()] == [r.value for r in reader.read_entries_iter(store.poll_range())] == list(range(1000))
+
+
+@pytest.mark.parametrize("name", ["store_partition_iter"])
+def test_whole_tables_do_not_pass_through_the_driver(spark, monkeypatch, name):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    import __spark_entry__ as entry
+
+    def never(*a, **b):
+        raise AssertionError("rows are brought to the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", never)
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_logs_compact(spark, made):
     store, clock = made()
     for row in ROWS:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import itertools
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +21,7 @@ def group_by_partition(df: DataFrame, key: Column, order: Sequence[str] = ()) ->
     """(key, rows): each partition's rows as one array, in ``order``, or as they come in ``df``.
 
     A partition is one row of the result, as asked for; for partitions beyond
-    a task's memory use ``per_partition`` or ``partitions``, which stream.
+    a task's memory use ``run_pieces``, which streams.
     """
     own = F.struct(*[F.col(c) for c in order], *([] if order else [F.col("__at")]), F.struct(*df.columns).alias("__row"))
     placed = df if order else df.withColumn("__at", F.monotonically_increasing_id())
@@ -35,8 +39,41 @@ def zip_partitions(a: DataFrame, b: DataFrame, key_a: Column, key_b: Column, run
     return a.groupBy(key_a.alias("key")).cogroup(b.groupBy(key_b.alias("key"))).applyInArrow(run, schema)
 
 
+def in_pieces(df: DataFrame, order: Sequence[str], n: int | None = None) -> DataFrame:
+    """``df`` in ``order``, dealt to tasks by ranges of it, so a large partition is several tasks' pieces; ``n`` tasks, or as many as Spark finds."""
+    dealt = df.repartitionByRange(*order) if n is None else df.repartitionByRange(n, *order)
+    return dealt.sortWithinPartitions(*order)
+
+
+def _runs(found: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Batches cut where the key changes."""
+    for batch in found:
+        at, encoded = 0, pc.run_end_encode(batch.column(key))
+        for name, end in zip(encoded.values.to_pylist(), encoded.run_ends.to_pylist(), strict=True):
+            yield name, batch.slice(at, end - at)
+            at = end
+
+
+def run_pieces(df: DataFrame, run: Callable[[str, int, Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: T.StructType | str, key: str = "hive_key") -> DataFrame:
+    """``run(key, piece, batches)`` on executors, for each task's piece of each partition; ``df`` must be in pieces.
+
+    Pieces of a partition are numbered in its order, with gaps; the caller
+    puts together what it makes of them.  Batches stream: no task holds a piece.
+    """
+
+    def task(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = TaskContext.get().partitionId()
+        for name, rows in itertools.groupby(_runs(found, key), key=lambda x: x[0]):
+            yield from run(name, piece, (batch for _, batch in rows))
+
+    return df.mapInArrow(task, schema)
+
+
 def partitions(df: DataFrame, key: str = "hive_key"):
-    """(key, rows) in key order, read partition by partition; ``df`` must be ordered by key."""
+    """(key, rows) in key order, read partition by partition; ``df`` must be ordered by key.
+
+    All rows pass through the driver, which holds a partition and two tasks' rows.
+    """
     held, name = [], None
     for row in df.toLocalIterator(prefetchPartitions=True):
         if row[key] != name and held:

@@ -33,6 +33,10 @@ def dedup(df: DataFrame, partition: Sequence[str], entity: Sequence[str], versio
     return (history if keep_history else latest)(df, partition, entity, version, tie)
 
 
-def ordered(df: DataFrame, key: str, entity: Sequence[str] = (), version: str | None = None, tie: Sequence[str] = ()) -> DataFrame:
+def order_of(key: str, entity: Sequence[str] = (), version: str | None = None, tie: Sequence[str] = ()) -> list[str]:
     """By whole key string, then entity and version, or file and row where there is no entity."""
-    return df.orderBy(key, *([*entity, version] if entity else []), *tie)
+    return [key, *([*entity, version] if entity else []), *tie]
+
+
+def ordered(df: DataFrame, key: str, entity: Sequence[str] = (), version: str | None = None, tie: Sequence[str] = ()) -> DataFrame:
+    return df.orderBy(*order_of(key, entity, version, tie))

@@ -376,8 +376,25 @@ def _counted(s, grouped) -> DataFrame:
     return s.createDataFrame([(k, len(rows), rows[0].event_id) for k, rows in grouped], "hive_key string, n_rows long, first_event long")
 
 
+PIECES = "hive_key string, piece long, n_rows long, first_event long"
+
+
+def _count(key, piece, rows):
+    """Rows of a piece of a partition, and its first event."""
+    n, first = 0, None
+    for batch in rows:
+        first = batch.column("event_id")[0].as_py() if first is None else first
+        n += batch.num_rows
+    yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), *(pa.array([x], pa.int64()) for x in (piece, n, first))], ["hive_key", "piece", "n_rows", "first_event"])
+
+
+def _merged(pieces: DataFrame) -> DataFrame:
+    return pieces.groupBy("hive_key").agg(F.sum("n_rows").alias("n_rows"), F.min_by("first_event", "piece").alias("first_event"))
+
+
 def store_partition_iter(s, d):
-    return _counted(s, _loaded(s, d).read_partition_iter(["*"]))
+    """Partitions read in order on executors, piece by piece."""
+    return _merged(_loaded(s, d).run_partitions(["*"], _count, PIECES))
 
 
 def store_range(s, d):

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import keys, patterns
 from tidemark.operators import batches, stream, views
-from tidemark.operators.dedup import dedup, ordered
+from tidemark.operators.dedup import dedup, order_of, ordered
 from tidemark.operators.projection import zero_fill
 from tidemark.sources.config import StoreConfig, Timing, load_timing
 from tidemark.sources.log import Logs
@@ -22,6 +24,13 @@ from tidemark.sources.observe import measured, watched
 KEY, TIE = "__hive_key", ("__commit", "__file", "__row")
 #: Beyond so many partitions a read lists the whole tree, in parallel, instead of each folder.
 MOST_FOLDERS = 10_000
+#: Bytes of rows in a task of an iterator, which the driver holds and fetches ahead.
+READ_AHEAD = 8 << 20
+#: Tasks of an iterator at most; beyond, each has more rows.
+MOST_TASKS = 10_000
+
+#: What is made on executors of a piece of a partition: key, number of the piece, its rows as Arrow batches.
+Run = Callable[[str, int, Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]
 
 
 class ForeignEntry(ValueError):
@@ -29,10 +38,14 @@ class ForeignEntry(ValueError):
 
 
 class Reader:
-    """``ordered=True`` asks for the contractual order: whole key, entity, version."""
+    """``ordered=True`` asks for the contractual order: whole key, entity, version.
+
+    Iterators bring all rows to the driver.  ``run_...``
+    do the same on executors: for what is larger than one machine should see.
+    """
 
-    def __init__(self, spark: SparkSession, config: StoreConfig, timing: Timing | None = None) -> None:
-        self.spark, self.config = spark, config
+    def __init__(self, spark: SparkSession, config: StoreConfig, timing: Timing | None = None, read_ahead: int = READ_AHEAD) -> None:
+        self.spark, self.config, self.read_ahead = spark, config, read_ahead
         self.timing = timing or load_timing(spark, config.root)
         self.logs = Logs(spark, config)
         self.counters: Counter[str] = Counter()
@@ -40,7 +53,7 @@ class Reader:
     def narrow(self, schema: T.StructType, entity: Sequence[str] | None = None, version: str | None = None) -> Reader:
         """Another reader of the same dataset that reads only ``schema``'s columns."""
         entity = self.config.entity if entity is None else entity
-        return Reader(self.spark, self.config.narrow(schema, entity=entity, version=(version or self.config.version) if entity else None), self.timing)
+        return Reader(self.spark, self.config.narrow(schema, entity=entity, version=(version or self.config.version) if entity else None), self.timing, self.read_ahead)
 
     def with_read_ahead(self, size: int) -> Reader:
         """The same reader, whose iterators hold and fetch ahead about ``size`` bytes at a time.
@@ -51,7 +64,7 @@ class Reader:
         for name in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"):
             session.conf.set(name, str(size))
         session.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
-        return Reader(session, self.config, self.timing)
+        return Reader(session, self.config, self.timing, size)
 
     # scans ----------------------------------------------------------------
 
@@ -96,14 +109,32 @@ class Reader:
     def _commit_names(self, commits: DataFrame) -> DataFrame:
         return commits.select(F.col("partition").alias(KEY), keys.commit_name(F.col("token"), F.col("attempt_id")).alias("__commit"))
 
-    def _finish(self, df: DataFrame, history: bool, in_order: bool, keep_key: bool = False) -> DataFrame:
+    def _picked(self, df: DataFrame, history: bool) -> DataFrame:
         c = self.config
-        path = (KEY, *TIE)
-        df = zero_fill(df, c.schema, c.optional, path)
-        df = dedup(df, [KEY], list(c.entity), c.version, history, TIE)
+        return dedup(zero_fill(df, c.schema, c.optional, (KEY, *TIE)), [KEY], list(c.entity), c.version, history, TIE)
+
+    def _named(self, df: DataFrame, keep_key: bool) -> DataFrame:
+        return df.select(*([F.col(KEY).alias("hive_key")] if keep_key else []), *self.config.schema.names)
+
+    def _finish(self, df: DataFrame, history: bool, in_order: bool, keep_key: bool = False) -> DataFrame:
+        df = self._picked(df, history)
         if in_order:
-            df = ordered(df, KEY, list(c.entity), c.version, TIE)
-        return df.select(*([F.col(KEY).alias("hive_key")] if keep_key else []), *c.schema.names)
+            df = ordered(df, KEY, list(self.config.entity), self.config.version, TIE)
+        return self._named(df, keep_key)
+
+    def _pieces(self, df: DataFrame, history: bool, keep_key: bool = False, tasks: int | None = None) -> DataFrame:
+        """In the contractual order, a range of it in each task."""
+        c = self.config
+        order = order_of(KEY, list(c.entity), c.version, () if c.entity else TIE)  # where there is an entity no two rows are alike in it
+        return self._named(batches.in_pieces(self._picked(df, history), order, tasks), keep_key)
+
+    def _bounded(self, df: DataFrame, log: DataFrame, history: bool, keep_key: bool = False) -> DataFrame:
+        """For iterators: tasks of about ``read_ahead`` bytes, by the rows that ``log`` tells of and the size of the files."""
+        rows = (log.agg(F.sum("row_count")).first()[0] if "row_count" in log.columns else None) or 0
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        files = [x for x in map(leaves.apply, range(leaves.size())) if x.getClass().getSimpleName() == "LogicalRelation"]
+        size = max(rows * df._jdf.schema().defaultSize(), sum(x.stats().sizeInBytes() for x in files))
+        return self._pieces(df, history, keep_key, max(1, min(MOST_TASKS, math.ceil(size / self.read_ahead))))
 
     def _snapshot(self, found: Sequence[str], tolerant: bool = False) -> DataFrame:
         commits = self._commits(found)
@@ -119,11 +150,11 @@ class Reader:
     @measured
     def read_iter(self, found: Sequence[str], history: bool = False, read_ahead: bool = True, stall_after: float | None = None) -> Iterator[Row]:
         """Rows in order; ``stall_after`` seconds without one count as a stall and warn."""
-        rows = self.read(found, history, ordered=True).toLocalIterator(prefetchPartitions=read_ahead)
+        rows = self._bounded(self._snapshot(found), self._commits(found), history).toLocalIterator(prefetchPartitions=read_ahead)
         return watched(rows, self.counters, stall_after) if stall_after else rows
 
-    def _grouped(self, df: DataFrame, history: bool) -> Iterator[tuple[str, list[Row]]]:
-        for key, rows in batches.partitions(self._finish(df, history, True, keep_key=True)):
+    def _grouped(self, df: DataFrame, log: DataFrame, history: bool) -> Iterator[tuple[str, list[Row]]]:
+        for key, rows in batches.partitions(self._bounded(df, log, history, keep_key=True)):
             yield key, [Row(**{k: v for k, v in r.asDict().items() if k != "hive_key"}) for r in rows]
 
     @measured
@@ -135,7 +166,12 @@ class Reader:
 
     @measured
     def read_partition_iter(self, found: Sequence[str], history: bool = False) -> Iterator[tuple[str, list[Row]]]:
-        return self._grouped(self._snapshot(found), history)
+        return self._grouped(self._snapshot(found), self._commits(found), history)
+
+    @measured
+    def run_partitions(self, found: Sequence[str], run: Run, schema: T.StructType | str, history: bool = False) -> DataFrame:
+        """``read_partition_iter`` on executors: what ``run`` makes of each piece of each partition, see ``batches.run_pieces``."""
+        return batches.run_pieces(self._pieces(self._snapshot(found), history, True), run, schema)
 
     # stream ---------------------------------------------------------------
 
@@ -188,11 +224,13 @@ class Reader:
 
     @measured
     def read_range_iter(self, since: datetime | None = None, until: datetime | None = None, history: bool = False, read_ahead: bool = True) -> Iterator[Row]:
-        return self.read_range(since, until, history, ordered=True).toLocalIterator(prefetchPartitions=read_ahead)
+        found = self.poll_range(since, until)
+        return self._bounded(self._records(found), found, history).toLocalIterator(prefetchPartitions=read_ahead)
 
     @measured
     def read_partition_range_iter(self, since: datetime | None = None, until: datetime | None = None, history: bool = False) -> Iterator[tuple[str, list[Row]]]:
-        return self._grouped(self._records(self.poll_range(since, until)), history)
+        found = self.poll_range(since, until)
+        return self._grouped(self._records(found), found, history)
 
     def _own(self, found: DataFrame) -> DataFrame:
         base = self.config.path("data") + "/"
@@ -207,11 +245,11 @@ class Reader:
 
     @measured
     def read_entries_iter(self, found: DataFrame, history: bool = False, read_ahead: bool = True) -> Iterator[Row]:
-        return self.read_entries(found, history, ordered=True).toLocalIterator(prefetchPartitions=read_ahead)
+        return self._bounded(self._records(self._own(found)), found, history).toLocalIterator(prefetchPartitions=read_ahead)
 
     @measured
     def read_partition_entries_iter(self, found: DataFrame, history: bool = False) -> Iterator[tuple[str, list[Row]]]:
-        return self._grouped(self._records(self._own(found)), history)
+        return self._grouped(self._records(self._own(found)), found, history)
 
 
 class ViewReader:
