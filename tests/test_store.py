@@ -212,9 +212,12 @@ def test_partitions_in_pieces_on_executors(spark, made):
                 pieces = sorted(found.collect(), key=lambda r: r.piece)
                 assert len(pieces) > 4 > len(expected)
                 assert [(k, [x for r in pieces if r.key == k for x in r.skus]) for k in dict.fromkeys(r.key for r in pieces)] == expected
+            numbered = store.read_numbered(["*"], f"{store.config.root}-numbered-{history}", history).orderBy("place").collect()
+            assert [r.place for r in numbered] == list(range(len(numbered)))
+            assert [(r.period, r.sku, r.value) for r in numbered] == [(r.period, r.sku, r.value) for r in store.read_iter(["*"], history)]
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
-    assert store.run_partitions(["period=none/*"], run, made_of).count() == 0
+    assert store.run_partitions(["period=none/*"], run, made_of).count() == 0 and store.read_numbered(["period=none/*"], f"{store.config.root}-none").count() == 0
 
 
 def test_an_iterator_has_tasks_of_bounded_size(spark, made):
@@ -230,7 +233,7 @@ def test_an_iterator_has_tasks_of_bounded_size(spark, made):
     assert [r.value for r in reader.read_range_iter()] == [r.value for r in reader.read_entries_iter(store.poll_range())] == list(range(1000))
 
 
-@pytest.mark.parametrize("name", ["store_partition_iter"])
+@pytest.mark.parametrize("name", ["store_partition_iter", "store_ordered"])
 def test_whole_tables_do_not_pass_through_the_driver(spark, monkeypatch, name):
     from pyspark.sql.classic.dataframe import DataFrame
 

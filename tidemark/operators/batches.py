@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def partition_counts(df: DataFrame, key: Column) -> DataFrame:
@@ -69,6 +70,19 @@ def run_pieces(df: DataFrame, run: Callable[[str, int, Iterator[pa.RecordBatch]]
     return df.mapInArrow(task, schema)
 
 
+def with_places(df: DataFrame) -> DataFrame:
+    """``df``, in pieces, with the number of each row's piece and its place there; to be stored before ``numbered``, as another run may cut otherwise."""
+    return df.select("*", F.spark_partition_id().alias("__piece"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"))
+
+
+def numbered(stored: DataFrame, place: str = "place") -> DataFrame:
+    """Rows with their place over all pieces, from 0; only a row for each piece is brought together."""
+    sizes = stored.groupBy("__piece").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = sizes.select("__piece", (F.sum("__n").over(w) - F.col("__n")).alias("__start"))
+    return stored.join(starts, "__piece").withColumn(place, F.col("__start") + F.col("__at")).drop("__piece", "__at", "__start")
+
+
 def partitions(df: DataFrame, key: str = "hive_key"):
     """(key, rows) in key order, read partition by partition; ``df`` must be ordered by key.
 

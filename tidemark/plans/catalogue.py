@@ -357,9 +357,10 @@ def store_pattern(s, d):
 
 
 def store_ordered(s, d):
-    """Every row with its place in the contractual order, as the iterator gives them."""
-    rows = [(k, r.event_id) for k, r in enumerate(_loaded(s, d).read_iter(["*"]))]
-    return s.createDataFrame(rows, "place long, event_id long")
+    """Every row with its place in the contractual order, as the iterator would give them, numbered on executors."""
+    store = _loaded(s, d)
+    narrow = T.StructType([f for f in store.config.schema if f.name in ("event_id", "ver")])
+    return store.reader.narrow(narrow).read_numbered(["*"], _shared(s)).select("place", "event_id")
 
 
 def store_early_stop(s, d):

@@ -40,7 +40,7 @@ class ForeignEntry(ValueError):
 class Reader:
     """``ordered=True`` asks for the contractual order: whole key, entity, version.
 
-    Iterators bring all rows to the driver.  ``run_...``
+    Iterators bring all rows to the driver.  ``run_...`` and ``read_numbered``
     do the same on executors: for what is larger than one machine should see.
     """
 
@@ -168,6 +168,15 @@ class Reader:
     def read_partition_iter(self, found: Sequence[str], history: bool = False) -> Iterator[tuple[str, list[Row]]]:
         return self._grouped(self._snapshot(found), self._commits(found), history)
 
+    @measured
+    def read_numbered(self, found: Sequence[str], folder: str, history: bool = False) -> DataFrame:
+        """Rows with ``place``, their number in the order of ``read_iter``.
+
+        The rows are stored in ``folder``, which must be new and shared with the executors, so that all places are of one sort.
+        """
+        batches.with_places(self._pieces(self._snapshot(found), history)).write.parquet(folder)
+        return batches.numbered(self.spark.read.parquet(folder))
+
     @measured
     def run_partitions(self, found: Sequence[str], run: Run, schema: T.StructType | str, history: bool = False) -> DataFrame:
         """``read_partition_iter`` on executors: what ``run`` makes of each piece of each partition, see ``batches.run_pieces``."""
