@@ -208,6 +208,7 @@ def test_partitions_in_pieces_on_executors(spark, made):
             expected = [(k, [r.sku for r in v]) for k, v in store.read_partition_iter(["*"], history)]
             for found in (
                 store.run_partitions(["*"], run, made_of, history),
+                store.run_partition_range(run, made_of, history=history),
             ):
                 pieces = sorted(found.collect(), key=lambda r: r.piece)
                 assert len(pieces) > 4 > len(expected)
@@ -233,7 +234,7 @@ def test_an_iterator_has_tasks_of_bounded_size(spark, made):
     assert [r.value for r in reader.read_range_iter()] == [r.value for r in reader.read_entries_iter(store.poll_range())] == list(range(1000))
 
 
-@pytest.mark.parametrize("name", ["store_partition_iter", "store_ordered"])
+@pytest.mark.parametrize("name", ["store_partition_iter", "store_ordered", "store_range_partitions"])
 def test_whole_tables_do_not_pass_through_the_driver(spark, monkeypatch, name):
     from pyspark.sql.classic.dataframe import DataFrame
 

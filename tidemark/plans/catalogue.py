@@ -409,7 +409,7 @@ def store_range_tip(s, d):
 
 
 def store_range_partitions(s, d):
-    return _counted(s, _loaded(s, d).read_partition_range_iter(WRITES[1][2]))
+    return _merged(_loaded(s, d).run_partition_range(_count, PIECES, WRITES[1][2]))
 
 
 def store_entries(s, d):

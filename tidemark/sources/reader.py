@@ -241,6 +241,10 @@ class Reader:
         found = self.poll_range(since, until)
         return self._grouped(self._records(found), found, history)
 
+    @measured
+    def run_partition_range(self, run: Run, schema: T.StructType | str, since: datetime | None = None, until: datetime | None = None, history: bool = False) -> DataFrame:
+        return batches.run_pieces(self._pieces(self._records(self.poll_range(since, until)), history, True), run, schema)
+
     def _own(self, found: DataFrame) -> DataFrame:
         base = self.config.path("data") + "/"
         if (foreign := found.where(~F.col("data_path").startswith(base)).select("data_path").head(1)):
