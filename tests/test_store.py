@@ -209,6 +209,7 @@ def test_partitions_in_pieces_on_executors(spark, made):
             for found in (
                 store.run_partitions(["*"], run, made_of, history),
                 store.run_partition_range(run, made_of, history=history),
+                store.run_partition_entries(store.poll_range(), run, made_of, history),
             ):
                 pieces = sorted(found.collect(), key=lambda r: r.piece)
                 assert len(pieces) > 4 > len(expected)
@@ -234,7 +235,7 @@ def test_an_iterator_has_tasks_of_bounded_size(spark, made):
     assert [r.value for r in reader.read_range_iter()] == [r.value for r in reader.read_entries_iter(store.poll_range())] == list(range(1000))
 
 
-@pytest.mark.parametrize("name", ["store_partition_iter", "store_ordered", "store_range_partitions"])
+@pytest.mark.parametrize("name", ["store_partition_iter", "store_ordered", "store_range_partitions", "store_entries_partitions"])
 def test_whole_tables_do_not_pass_through_the_driver(spark, monkeypatch, name):
     from pyspark.sql.classic.dataframe import DataFrame
 

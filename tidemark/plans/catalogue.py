@@ -373,10 +373,6 @@ def store_partitions(s, d):
     return found.select(F.col("key").alias("hive_key"), F.size("rows").cast("long").alias("n_rows"), F.col("rows")[0]["event_id"].alias("first_event"))
 
 
-def _counted(s, grouped) -> DataFrame:
-    return s.createDataFrame([(k, len(rows), rows[0].event_id) for k, rows in grouped], "hive_key string, n_rows long, first_event long")
-
-
 PIECES = "hive_key string, piece long, n_rows long, first_event long"
 
 
@@ -419,7 +415,7 @@ def store_entries(s, d):
 
 def store_entries_partitions(s, d):
     store = _loaded(s, d)
-    return _counted(s, store.read_partition_entries_iter(store.poll_range(WRITES[2][2])))
+    return _merged(store.run_partition_entries(store.poll_range(WRITES[2][2]), _count, PIECES))
 
 
 def store_poll_pages(s, d):

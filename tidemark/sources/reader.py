@@ -264,6 +264,10 @@ class Reader:
     def read_partition_entries_iter(self, found: DataFrame, history: bool = False) -> Iterator[tuple[str, list[Row]]]:
         return self._grouped(self._records(self._own(found)), found, history)
 
+    @measured
+    def run_partition_entries(self, found: DataFrame, run: Run, schema: T.StructType | str, history: bool = False) -> DataFrame:
+        return batches.run_pieces(self._pieces(self._records(self._own(found)), history, True), run, schema)
+
 
 class ViewReader:
     """Looks up a view's tuples; neither data nor commits are read."""
